@@ -1,0 +1,58 @@
+"""Registered queries: comps, value, bids, text identity, condition and repair."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gavelflow.catalog import oracle as o
+from gavelflow.catalog.given import Given
+from gavelflow.catalog.oracle import LONG, P, r2
+from gavelflow.catalog.registry import query
+from gavelflow.functions import condition, money, text
+from gavelflow.operators import comps as oc
+from gavelflow.operators import parts
+
+
+def h(c, digits: int = 2):
+    """Rounded for comparison across engines."""
+    return money.half_up(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def part_points(g: Given) -> DataFrame:
+    """Every comp as a point of its part, similarity by its line number."""
+    return g.comps.withColumn("part", F.split("comp_id", "-")[2]).withColumn(
+        "similarity", F.when(F.split("comp_id", "-")[1].cast("int") == 7, 0.4).otherwise(1.0))
+
+
+POINTS = """(select *, string_split(comp_id, '-')[3] as part,
+  case when string_split(comp_id, '-')[2] = '7' then 0.4 else 1.0 end as similarity from v_comps)"""
+
+AGG_COLS = f"""part, {r2('comp_value')} as comp_value, cast(comp_count as bigint) as comp_count, {r2('spread', 4)} as spread,
+  median_age_days, sources"""
+
+
+def show_aggregate(df: DataFrame) -> DataFrame:
+    return df.select(
+        "part", h("comp_value").alias("comp_value"), "comp_count", h("spread", 4).alias("spread"), "median_age_days",
+        F.array_join("sources", ",").alias("sources"))
+
+
+@query("a1_comp_aggregate", f"select {AGG_COLS} from ({o.comp_aggregate(POINTS, 'part', LONG)})")
+def a1(g: Given) -> DataFrame:
+    return show_aggregate(oc.aggregate_comps(part_points(g), ["part"], g.as_of, LONG))
+
+
+@query("a1_comp_aggregate_default_window", f"select {AGG_COLS} from ({o.comp_aggregate(POINTS, 'part', P)})")
+def a1_default(g: Given) -> DataFrame:
+    return show_aggregate(oc.aggregate_comps(part_points(g), ["part"], g.as_of, P))
+
+
+@query("a2_weighted_median", """
+  select l_partkey as part, min(case when cum * 2 >= tot then unit end) as weighted_median, cast(max(n) as bigint) as n
+  from (select *, sum(w) over (partition by l_partkey order by unit, line_id) as cum, sum(w) over (partition by l_partkey) as tot,
+      count(*) over (partition by l_partkey) as n
+    from (select l_partkey, line_id, unit, cast(l_quantity as decimal(18, 9)) as w from v_lines)) group by 1""")
+def a2(g: Given) -> DataFrame:
+    out = oc.weighted_median(g.lines, ["l_partkey"], "unit", "l_quantity", ["line_id"], LONG, [F.substring("line_id", 1, 6)])
+    return out.withColumnRenamed("l_partkey", "part")
