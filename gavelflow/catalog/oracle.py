@@ -204,5 +204,79 @@ def oracle_views() -> dict[str, str]:
               regexp_replace(coalesce(upc, ''), '[^0-9]', '', 'g') as digits, {sig(tt, 5)} as words
             from v_lots)))"""
     v["o_titles"] = f"select distinct title as t, {title_parts('title', 't')} from (select title from v_lots union select title from v_comps union select title from v_prices)"
-    v["o_keys"] = "select distinct query_key from v_comps"
+    v["o_asked"] = "select distinct item_key, family, brand_key from o_lots"
+    n = P.comps_limit
+    v["o_house"] = "select * from v_comps where source = 'house'"
+    v["o_by_key"] = f"select * from o_house qualify row_number() over (partition by query_key order by sold_at desc nulls last, comp_id) <= {n}"
+    v["o_by_family"] = f"""
+      select f.family, c.* from (select distinct family from o_asked) f
+      join (select distinct query_key as k from o_house) on starts_with(k, f.family) join o_house c on c.query_key = k
+      qualify row_number() over (partition by f.family order by sold_at desc nulls last, comp_id) <= {n}"""
+    v["o_by_brand"] = f"""
+      select string_split(query_key, ':')[2] as brand_key, c.* from o_house c where starts_with(query_key, 'bm:')
+      qualify row_number() over (partition by string_split(query_key, ':')[2] order by sold_at desc nulls last, comp_id) <= {3 * n}"""
+    v["o_tiers"] = """
+      select item_key, family, brand_key,
+        case when case when n1 < 5 and family <> item_key then n2 else n1 end < 3 and brand_key is not null then 3
+          when n1 < 5 and family <> item_key then 2 else 1 end as tier
+      from (select a.*, (select count(*) from o_by_key k where k.query_key = a.item_key) as n1,
+        (select count(*) from o_by_family f where f.family = a.family) as n2 from o_asked a)"""
+    cols = "comp_id, source, query_key, title, price, shipping, condition, is_sold, coalesce(sold_at, observed_at) as sold_at, observed_at, url"
+    v["o_house_rows"] = f"""
+      select item_key, tier, {cols} from o_tiers join o_by_key c on c.query_key = item_key where tier = 1
+      union all select t.item_key, tier, {cols} from o_tiers t join o_by_family c on c.family = t.family where tier = 2
+      union all select t.item_key, tier, {cols} from o_tiers t join o_by_brand c on c.brand_key = t.brand_key where tier = 3"""
+    v["o_stored"] = f"""
+      select f.family, c.* from (select distinct family from o_asked) f
+      join (select distinct query_key as k from v_comps where source <> 'house') on starts_with(k, f.family)
+      join v_comps c on c.query_key = k and c.source <> 'house'
+      qualify row_number() over (partition by f.family order by observed_at desc, comp_id) <= {n}"""
+    v["o_stored_rows"] = f"select item_key, 0 as tier, {cols} from o_asked a join o_stored c on c.family = a.family"
+    v["o_hits"] = f"""
+      select l.lot_id, l.title as asked_title, r.*,
+        case when source = 'house' and query_key = r.item_key then 1.0 else {similarity('a.tm', 'a.tw', 'b.tm', 'b.tw')} end as similarity
+      from (select * from o_house_rows union all select * from o_stored_rows) r join o_lots l on l.item_key = r.item_key
+      join o_titles a on a.t = l.title join o_titles b on b.t = r.title"""
+    # one row per listing and lot when (source, url) repeats; the lowest comp id stands for it
+    v["o_points"] = """
+      select * from o_hits where url is null union all
+      select * from o_hits where url is not null qualify row_number() over (partition by lot_id, source, url order by comp_id) = 1"""
+    v["o_values"] = comp_aggregate("o_points", "lot_id", LONG)
+    v["o_market_rows"] = f"""
+      select l.lot_id, p.*, price + coalesce(p.shipping, 0) as total, coalesce(rating >= 4.0 and review_count >= 25, false) as good
+      from o_lots l join (select distinct query_key as k from v_prices) on starts_with(k, l.family) join v_prices p on p.query_key = k
+      join o_titles a on a.t = l.title join o_titles b on b.t = p.title
+      where kind in ('exact_new', 'exact_used') or {similarity('a.tm', 'a.tw', 'b.tm', 'b.tw')} >= 0.2"""
+    v["o_view"] = f"""
+      select lot_id, retail_price, street, exact_new_price, best.total as best_price, best.kind in ('exact_new', 'sub_new') as best_new,
+        case when best.kind in ('exact_new', 'sub_new') then best.total * 0.7::double else best.total end as ceiling, considered, rejected,
+        case when street is null or retail_price is null then 'unverified' when ratio >= 1.25 then 'understated' when ratio >= 0.75 then 'verified' else 'overstated' end as verification
+      from (select *, case when retail_price > 0 then street / retail_price else 0.0 end as ratio
+        from (select l.lot_id, any_value(l.retail_price) as retail_price,
+            max(case when kind = 'exact_new' and pos = n // 2 + 1 then total end) as street, min(case when kind = 'exact_new' then total end) as exact_new_price,
+            arg_min({{'total': total, 'kind': kind}}, {{'t': total, 'i': price_id}}) filter (where kind like 'exact%' or good) as best,
+            count(price_id) filter (where kind like 'exact%' or good) as considered, count(price_id) filter (where kind like 'sub%' and not good) as rejected
+          from v_lots l left join (select *, row_number() over (partition by lot_id, kind order by total, price_id) as pos, count(*) over (partition by lot_id, kind) as n
+            from o_market_rows where observed_at >= {AS_OF} - to_days({LONG.fresh_days}) and in_stock and total > 0) m on m.lot_id = l.lot_id
+          group by l.lot_id))"""
+    v["o_live"] = "select * from v_commit where status in ('leading', 'outbid')"
+    v["o_overlap"] = f"""
+      select a.lot_id, b.lot_id as other from v_lots a join (select distinct l.lot_id, l.close_at from o_live join v_lots l using (lot_id) where not is_closed) b
+      on a.lot_id <> b.lot_id and abs(epoch_us(a.close_at) - epoch_us(b.close_at)) <= {P.overlap_minutes * 60_000_000}"""
     return v
+
+
+def exposure_sql(source: str, landed_col: str, p: Params) -> str:
+    """source columns plus worst, cat_worst, overlaps, allowed, block."""
+    return f"""
+      select *, worst <= {p.max_total_exposure} and (held or cnt + 1 <= {p.max_open_lots}) and cat_worst <= {p.max_category_exposure} as allowed,
+        case when worst > {p.max_total_exposure} then 'total' when not held and cnt + 1 > {p.max_open_lots} then 'lots'
+          when cat_worst > {p.max_category_exposure} then 'category' when overlaps > 0 then 'overlap' end as why
+      from (select s.*, own.landed_at_max is not null as held, cnt, tot - coalesce(own.landed_at_max, 0) + {landed_col} as worst,
+          coalesce(ct, 0) - case when own.landed_at_max is not null and lower(coalesce(own.category, 'uncategorized')) = lower(coalesce(s.category, 'uncategorized'))
+            then own.landed_at_max else 0 end + {landed_col} as cat_worst,
+          (select count(*) from o_overlap v where v.lot_id = s.lot_id) as overlaps
+        from {source} s cross join (select coalesce(sum(landed_at_max), 0) as tot, count(*) as cnt from o_live)
+        left join v_commit own on own.lot_id = s.lot_id
+        left join (select lower(coalesce(category, 'uncategorized')) as cat, sum(landed_at_max) as ct from o_live group by 1)
+          on cat = lower(coalesce(s.category, 'uncategorized')))"""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from gavelflow import lexicon as lx
 from gavelflow.functions import money, text
-from gavelflow.operators.splitting import positions, split_heavy, top_per_group
+from gavelflow.operators.splitting import pin, positions, split_heavy, top_per_group
 from gavelflow.params import Params
+from gavelflow.session import durable
 
 COMP_COLUMNS = [
     "comp_id", "source", "query_key", "title", "price", "shipping",
@@ -20,10 +21,12 @@ COMP_COLUMNS = [
 
 
 def with_identity(lots: DataFrame) -> DataFrame:
-    """Adds item key, family and the brand part of the key."""
-    keyed = lots.withColumn("item_key", text.normalize_item_key("title", "brand", "model", "upc"))
-    return keyed.withColumn("family", text.key_family("item_key")).withColumn(
-        "brand_key", F.when(F.col("item_key").startswith("bm:"), F.split("item_key", ":")[1]))
+    """Adds item key, family and the brand part of the key, unless they are stored already."""
+    if {"item_key", "family", "brand_key"} <= set(lots.columns):
+        return lots
+    keyed = pin(lots, item_key=text.normalize_item_key("title", "brand", "model", "upc"))
+    brand = F.when(F.col("item_key").startswith("bm:"), F.split("item_key", ":")[1])
+    return pin(keyed, family=text.key_family("item_key"), brand_key=brand)
 
 
 def total(price: str = "price", shipping: str = "shipping") -> Column:
@@ -47,7 +50,12 @@ def family_matches(families: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _packed(rows: DataFrame, key: str, name: str) -> DataFrame:
     """One row per key with its comps as an array; rows were capped per key before."""
-    return rows.groupBy(key).agg(F.collect_list(F.struct(*COMP_COLUMNS)).alias(name))
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*COMP_COLUMNS, "features")).alias(name))
+
+
+def _with_features(rows: DataFrame) -> DataFrame:
+    """Title features worked out once per comp, after the cut and before any join."""
+    return rows.withColumn("features", text.title_features("title"))
 
 
 def _unless(cond: Column, key: str, other: str) -> Column:
@@ -57,7 +65,8 @@ def _unless(cond: Column, key: str, other: str) -> Column:
 
 def _newest_by_family(asked: DataFrame, key_pack: DataFrame, order: list[Column], limit: int, name: str) -> DataFrame:
     pairs = family_matches(asked, key_pack)
-    rows = pairs.join(key_pack, "query_key").select("family", F.inline("exact_rows"))
+    rows = pairs.join(key_pack.withColumnRenamed("query_key", "_k"), F.col("query_key") == F.col("_k")).select(
+        "family", F.inline("exact_rows"))
     return _packed(top_per_group(rows, ["family"], order, limit), "family", name)
 
 
@@ -71,7 +80,7 @@ def house_pack(queries: DataFrame, comps: DataFrame, params: Params = Params())
     order = [F.col("sold_at").desc(), F.col("comp_id")]
     house = comps.where(F.col("source") == "house").select(*COMP_COLUMNS)
     asked = queries.select("item_key", "family", "brand_key").distinct()
-    key_pack = _packed(top_per_group(house, ["query_key"], order, limit), "query_key", "exact_rows")
+    key_pack = _packed(_with_features(top_per_group(house, ["query_key"], order, limit)), "query_key", "exact_rows")
     asked = asked.join(key_pack.withColumnRenamed("query_key", "item_key"), "item_key", "left")
     n_exact = F.coalesce(F.size("exact_rows"), F.lit(0))
     asked = asked.withColumn("widens", (n_exact < 5) & (F.col("family") != F.col("item_key")))
@@ -82,7 +91,7 @@ def house_pack(queries: DataFrame, comps: DataFrame, params: Params = Params())
     rows = F.when(F.col("widens"), F.col("family_rows")).otherwise(F.col("exact_rows"))
     thin = (F.coalesce(F.size(rows), F.lit(0)) < 3) & F.col("brand_key").isNotNull()
     branded = house.where(F.col("query_key").startswith("bm:")).withColumn("_brand", F.split("query_key", ":")[1])
-    by_brand = _packed(top_per_group(branded, ["_brand"], order, limit * 3), "_brand", "brand_rows")
+    by_brand = _packed(_with_features(top_per_group(branded, ["_brand"], order, limit * 3)), "_brand", "brand_rows")
     asked = asked.withColumn("thin", thin).withColumn("_brand", _unless(F.col("thin"), "brand_key", "item_key"))
     asked = asked.join(by_brand, "_brand", "left")
     tier = F.when(F.col("thin"), 3).when(F.col("widens"), 2).otherwise(1)
@@ -96,7 +105,8 @@ def stored_pack(
     """Cached outside comps whose key starts with the item family, newest observed first."""
     order = [F.col("observed_at").desc(), F.col("comp_id")]
     stored = comps.where(F.col("source").isin(list(sources))).select(*COMP_COLUMNS)
-    key_pack = _packed(top_per_group(stored, ["query_key"], order, params.comps_limit), "query_key", "exact_rows")
+    newest = _with_features(top_per_group(stored, ["query_key"], order, params.comps_limit))
+    key_pack = _packed(newest, "query_key", "exact_rows")
     by_family = _newest_by_family(queries, key_pack, order, params.comps_limit, "rows")
     asked = queries.select("item_key", "family").distinct()
     return asked.join(by_family, "family").select("item_key", F.lit(0).alias("tier"), "rows")
@@ -116,24 +126,44 @@ def stored_comps(queries: DataFrame, comps: DataFrame, params: Params = Params()
     return unpack(stored_pack(queries, comps, params))
 
 
+def scored_pack(queries: DataFrame, packs: Sequence[DataFrame], dedupe: bool = True) -> DataFrame:
+    """One row per (item_key, title) with its comps as an array, each with its similarity.
+
+    The comps of a key are joined to the distinct titles that ask for the key, still packed, so
+    the join moves one row per title and its heavy side can be cut anywhere.
+    """
+    merged = reduce(DataFrame.unionByName, packs).groupBy("item_key").agg(
+        F.flatten(F.collect_list("rows")).alias("rows"))
+    rows = merged.select("item_key", F.inline("rows")).withColumn("sold_at", F.coalesce("sold_at", "observed_at"))
+    per_key = union_comps([rows], dedupe).groupBy("item_key").agg(
+        F.collect_list(F.struct(*COMP_COLUMNS, "features")).alias("rows"))
+    asked = pin(queries.select("item_key", F.col("title").alias("asked_title")).distinct(),
+                asked_features=text.title_features("asked_title"))
+
+    def scored(r: Column) -> Column:
+        house_exact = (r["source"] == "house") & (r["query_key"] == F.col("item_key"))
+        untitled = F.coalesce(r["title"], F.lit("")) == ""
+        similarity = F.when(house_exact, F.lit(1.0)).when(untitled, F.lit(0.6)).otherwise(
+            text.feature_similarity(F.col("asked_features"), r["features"]))
+        return r.dropFields("features").withField("similarity", similarity)
+
+    return asked.join(per_key, "item_key").select("item_key", "asked_title", F.transform("rows", scored).alias("rows"))
+
+
 def scored_points(queries: DataFrame, packs: Sequence[DataFrame], dedupe: bool = True) -> DataFrame:
     """One row per (item_key, title, comp) with its similarity to the lot title."""
-    asked = queries.select("item_key", F.col("title").alias("asked_title")).distinct()
-    rows = reduce(DataFrame.unionByName, [unpack(p) for p in packs])
-    hits = asked.join(union_comps([rows], dedupe), "item_key")
-    house_exact = (F.col("source") == "house") & (F.col("query_key") == F.col("item_key"))
-    scored = F.when(house_exact, F.lit(1.0)).otherwise(text.score_similarity("asked_title", "title"))
-    return hits.withColumn("similarity", scored)
+    return scored_pack(queries, packs, dedupe).select("item_key", "asked_title", F.inline("rows"))
 
 
 def union_comps(parts: Sequence[DataFrame], dedupe: bool = True, keys: Sequence[str] = ("item_key",)) -> DataFrame:
-    """All providers' comps. A listing seen live and stored counts once unless ``dedupe`` is off."""
+    """All providers' comps. A listing seen live and stored counts once unless ``dedupe`` is off;
+    its lowest comp id stands for it, so the choice does not depend on row order."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if not dedupe:
         return rows
-    plain = rows.where(F.coalesce(F.col("url"), F.lit("")) == "")
-    linked = rows.where(F.col("url") != "").dropDuplicates([*keys, "source", "url"])
-    return linked.unionByName(plain)
+    listing = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("#"), F.col("comp_id")))
+    once = top_per_group(rows.withColumn("_listing", listing), [*keys, "source", "_listing"], [F.col("comp_id")], 1)
+    return once.drop("_listing")
 
 
 def new_comps(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -155,8 +185,8 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     Exact: titles that share a model number join on it; otherwise only the rarest words of a title
     are indexed, as many as two titles of this Jaccard similarity must share at least one of.
     """
-    a = left.select(F.col("title").alias("a")).distinct().withColumn("fa", text.title_features("a"))
-    b = right.select(F.col("title").alias("b")).distinct().withColumn("fb", text.title_features("b"))
+    a = pin(left.select(F.col("title").alias("a")).distinct(), fa=text.title_features("a"))
+    b = pin(right.select(F.col("title").alias("b")).distinct(), fb=text.title_features("b"))
     by_model = a.select("a", "fa", F.explode("fa.models").alias("k")).join(
         b.select("b", "fb", F.explode("fb.models").alias("k")), "k").select("a", "b", "fa", "fb")
     words = a.select(F.explode("fa.words").alias("w")).unionByName(b.select(F.explode("fb.words").alias("w")))
@@ -185,7 +215,7 @@ def sheet_comps(queries: DataFrame, sheet: DataFrame, params: Params = Params())
     """
     n = params.comps_limit
     asked = queries.select("item_key", "family", F.col("title").alias("asked_title")).distinct()
-    rows = sheet.withColumn("row_family", text.key_family(text.normalize_item_key("title")))
+    rows = pin(pin(sheet, row_key=text.normalize_item_key("title")), row_family=text.key_family("row_key")).drop("row_key")
     order = [F.col("comp_id")]
     same_family = asked.join(
         top_per_group(rows, ["row_family"], order, n), F.col("family") == F.col("row_family"))
@@ -200,12 +230,12 @@ def sheet_comps(queries: DataFrame, sheet: DataFrame, params: Params = Params())
 
 # --- aggregate ----------------------------------------------------------------------------------
 def aggregate_comps(
-    points: DataFrame, keys: Sequence[str], as_of: Column, params: Params = Params(), bounded: bool = False,
+    points: DataFrame, keys: Sequence[str], as_of: Column, params: Params = Params(),
 ) -> DataFrame:
     """Trimmed, recency- and source-weighted median per group with spread, age and sources.
 
-    ``points`` has comp_id, source, price, shipping, is_sold, sold_at, similarity. ``bounded`` says
-    each group came from the capped lookups; otherwise heavy groups are ranked in bins.
+    ``points`` has comp_id, source, price, shipping, is_sold, sold_at, similarity. Groups may be of
+    any size; heavy ones are ranked in bins.
     """
     keys = list(keys)
     cutoff = as_of - F.expr(f"INTERVAL {params.max_age_days} DAYS")
@@ -222,7 +252,7 @@ def aggregate_comps(
     def rank(rows: DataFrame, split: bool) -> DataFrame:
         return _ranked_aggregate(rows, keys, params.trim_fraction, split)
 
-    return split_heavy(kept, keys, None if bounded else params.heavy_rows, rank)
+    return split_heavy(kept, keys, params.heavy_rows, rank)
 
 
 def _ranked_aggregate(kept: DataFrame, keys: list[str], trim_fraction: float, split: bool) -> DataFrame:
@@ -263,6 +293,64 @@ def _ranked_aggregate(kept: DataFrame, keys: list[str], trim_fraction: float, sp
     ).select(*keys, "comp_value", "comp_count", "spread", "median_age_days", "sources")
 
 
+def aggregate_packed(pack: DataFrame, as_of: Column, params: Params = Params()) -> DataFrame:
+    """The same aggregate for packed points: a lookup gives an item a capped number of comps, so
+    they fit in the row and neither a shuffle nor a window is needed."""
+    cutoff = as_of - F.expr(f"INTERVAL {params.max_age_days} DAYS")
+
+    def usable(r: Column) -> Column:
+        fresh = r["sold_at"].isNull() | (r["sold_at"] >= cutoff)
+        return (r["similarity"] >= params.min_similarity) & fresh & (_row_total(r) > 0)
+
+    def point(r: Column) -> Column:
+        weight = (
+            money.source_weight(r["source"]) * money.recency_weight(r["sold_at"], as_of, params.half_life_days)
+            * F.greatest(F.lit(0.1), r["similarity"])).cast("decimal(18,9)")
+        return F.struct(
+            _row_total(r).alias("total"), r["sold_at"].alias("sold_at"), r["comp_id"].alias("comp_id"),
+            (_row_total(r) * F.when(r["is_sold"], 1.0).otherwise(lx.ASKING_HAIRCUT)).alias("adjusted"),
+            weight.alias("weight"), F.floor(money.days_between(as_of, r["sold_at"])).alias("age"), r["source"].alias("source"))
+
+    rows = pin(pack, _p=F.array_sort(F.transform(F.filter("rows", usable), point))).where(F.size("_p") > 0)
+    n0 = F.size("_p")
+    trim = F.when(n0 >= 8, F.greatest(F.lit(1), F.floor(n0 * F.lit(params.trim_fraction)).cast("int"))).otherwise(F.lit(0))
+    rows = pin(rows, _k=F.slice("_p", trim + 1, n0 - 2 * trim))
+    by_price = F.array_sort(F.transform(
+        "_k", lambda p: F.struct(p["adjusted"], p["sold_at"], p["comp_id"], p["weight"])))
+    rows = pin(
+        rows, _a=by_price,
+        _tot=F.aggregate("_k", F.lit(0).cast("decimal(38,9)"), lambda acc, p: (acc + p["weight"]).cast("decimal(38,9)")),
+        _ages=F.array_sort(F.array_compact(F.transform("_k", lambda p: p["age"]))))
+    start = F.struct(F.lit(0).cast("decimal(38,9)").alias("cum"), F.lit(None).cast("double").alias("hit"))
+
+    def step(acc: Column, p: Column) -> Column:
+        cum = (acc["cum"] + p["weight"]).cast("decimal(38,9)")
+        return F.struct(cum.alias("cum"), F.coalesce(acc["hit"], F.when(cum * 2 >= F.col("_tot"), p["adjusted"])).alias("hit"))
+
+    n = F.size("_k")
+
+    def at(arr: str, index: Column) -> Column:
+        return F.get(F.col(arr), index.cast("int"))
+
+    def middle(arr: str, field: str | None = None) -> Column:
+        size = F.size(arr)
+        low, high = at(arr, F.floor((size - 1) / 2)), at(arr, F.floor(size / 2))
+        return ((low[field] + high[field]) if field else (low + high)) / F.lit(2.0)
+
+    value = F.when(F.col("_tot") > 0, F.aggregate("_a", start, step)["hit"]).otherwise(middle("_a", "adjusted"))
+    rows = pin(rows, comp_value=value)
+    spread = (at("_k", F.floor(3 * n / 4))["total"] - at("_k", F.floor(n / 4))["total"]) / F.col("comp_value")
+    return rows.select(
+        *[c for c in pack.columns if c != "rows"], "comp_value", n.cast("long").alias("comp_count"),
+        F.when((n >= 4) & (F.col("comp_value") != 0), spread).alias("spread"),
+        F.when(F.size("_ages") > 0, middle("_ages")).alias("median_age_days"),
+        F.array_sort(F.array_distinct(F.transform("_k", lambda p: p["source"]))).alias("sources"))
+
+
+def _row_total(r: Column) -> Column:
+    return r["price"] + F.coalesce(r["shipping"], F.lit(0.0))
+
+
 def weighted_median(
     df: DataFrame, keys: Sequence[str], value: str, weight: str, ties: Sequence[str], params: Params = Params(),
     slices: Sequence[Column] = (),

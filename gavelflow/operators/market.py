@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gavelflow import lexicon as lx
 from gavelflow.functions import alerts, money, text
 from gavelflow.operators.comps import _unseen, family_matches, total
-from gavelflow.operators.splitting import positions, split_heavy, top_per_group
+from gavelflow.operators.splitting import pin, positions, split_heavy, top_per_group
 from gavelflow.params import Params
 
 EXACT_KINDS = ["exact_new", "exact_used"]
@@ -40,8 +40,8 @@ def classify_cards(cards: DataFrame) -> DataFrame:
     word = F.regexp_extract(lowered, lx.ACCESSORY_WORDS, 0)
     accessory = (word != "") & ~F.contains(F.lower(F.coalesce("lot_title", F.lit(""))), F.split(word, r"\s+")[0])
     reference = F.concat_ws(" ", F.nullif("lot_brand", F.lit("")), F.nullif("lot_model", F.lit("")), F.nullif("lot_title", F.lit("")))
-    rows = cards.withColumn("_ref", text.title_features(reference)).withColumn("_card", text.title_features(title))
-    rows = rows.withColumn("similarity", text.feature_similarity(F.col("_ref"), F.col("_card")))
+    rows = pin(cards, _ref=text.title_features(reference), _card=text.title_features(title))
+    rows = pin(rows, similarity=text.feature_similarity(F.col("_ref"), F.col("_card")))
     shared = F.arrays_overlap("_ref.models", "_card.models") & (F.size("_ref.models") > 0)
     looks_exact = (F.col("similarity") >= lx.EXACT_SIMILARITY) | shared
     reject = (
@@ -61,7 +61,7 @@ def classify_cards(cards: DataFrame) -> DataFrame:
         F.when(exact & ~used, "exact_new").when(exact, "exact_used")
         .when(~used, "sub_new").otherwise("sub_used")
     )
-    rows = rows.withColumn("reject_reason", reject)
+    rows = pin(rows, reject_reason=reject)
     ok = F.col("reject_reason").isNull()
     return rows.select(
         *[c for c in cards.columns if c not in ("title", "price", "shipping", "rating", "review_count", "in_stock", "brand")],
@@ -179,10 +179,10 @@ def market_by_family(families: DataFrame, prices: DataFrame, as_of: Column, para
 
 def market_prices_for(lots: DataFrame, prices: DataFrame) -> DataFrame:
     """Every stored price relevant to a lot: exact kinds, and substitutes with a related title."""
-    asked = lots.select("lot_id", "family", F.col("title").alias("lot_title"))
-    rows = family_matches(lots, prices).join(prices, "query_key")
-    near = text.title_similarity("lot_title", "title") >= lx.TERRITORY_SIMILARITY
-    return asked.join(rows, "family").where(F.col("kind").isin(EXACT_KINDS) | near)
+    asked = pin(lots.select("lot_id", "family", "title"), _a=text.title_features("title")).drop("title")
+    rows = family_matches(lots, prices).join(pin(prices, _b=text.title_features("title")), "query_key")
+    near = text.feature_similarity(F.col("_a"), F.col("_b")) >= lx.TERRITORY_SIMILARITY
+    return asked.join(rows, "family").where(F.col("kind").isin(EXACT_KINDS) | near).drop("_a", "_b")
 
 
 def market_view(lots: DataFrame, prices: DataFrame, as_of: Column, params: Params = Params()) -> DataFrame:
@@ -193,8 +193,9 @@ def market_view(lots: DataFrame, prices: DataFrame, as_of: Column, params: Param
     """
     exact, subs = market_by_family(lots, prices, as_of, params)
     titles = lots.select("family", "title").distinct()
-    near = text.title_similarity("title", "sub_title") >= lx.TERRITORY_SIMILARITY
-    related = titles.join(subs, "family").where(near).groupBy("family", "title").agg(
+    near = text.feature_similarity(F.col("_a"), F.col("_b")) >= lx.TERRITORY_SIMILARITY
+    known = pin(subs, _b=text.title_features("sub_title"))
+    related = pin(titles, _a=text.title_features("title")).join(known, "family").where(near).groupBy("family", "title").agg(
         F.min("sub_best").alias("sub_best"), F.sum("sub_count").alias("sub_count"), F.sum("sub_rejected").alias("sub_rejected"))
     by_title = titles.join(exact, "family", "left").join(related, ["family", "title"], "left")
     best = F.least("exact_best", "sub_best")

@@ -137,6 +137,19 @@ def running_max_in_time(df: DataFrame, key: str, ts: str, tie: str, columns: Seq
     return out.select(*df.columns, *[f"max_{c}" for c in columns])
 
 
+# --- costly columns ------------------------------------------------------------------------------------
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns so that they are worked out once per row.
+
+    The optimizer moves a filter below the projection it tests and then repeats the projected
+    expression inside the filter. It does not do so through a generator, so the columns come out of
+    a one-element ``inline``.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(made)))
+
+
 # --- broadcasts --------------------------------------------------------------------------------------
 def bounded_count(df: DataFrame, limit: int) -> int:
     """Row count, counting no further than one past the limit."""
