@@ -207,16 +207,16 @@ _TRY = "(select lot_id, category, 20.0 + current_bid as landed_try from v_lots)"
 
 
 @query("f24_exposure_decision", f"""
-  select lot_id, allowed, why, {r2('worst')} as worst_case_total, overlaps from ({o.exposure_sql(_TRY, 'landed_try', CAPS)})""")
+  select lot_id, allowed, why, {r2('worst')} as worst_case_total, n_over as overlapping from ({o.exposure_sql(_TRY, 'landed_try', CAPS)})""")
 def f24(g: Given) -> DataFrame:
     lots = g.lots.withColumn("landed_try", F.col("current_bid") + 20.0)
     out = risk.check_exposure(lots, g.lots, g.commit, CAPS, "landed_try")
+    said = F.col("exposure_reason")
     why = (
-        F.when(F.col("exposure.reason").startswith("Would put"), "total").when(F.col("exposure.reason").startswith("Already"), "lots")
-        .when(F.col("exposure.reason").contains("per-category"), "category").when(F.col("exposure.reason").isNotNull(), "overlap"))
+        F.when(said.startswith("Would put"), "total").when(said.startswith("Already"), "lots")
+        .when(said.contains("per-category"), "category").when(said.isNotNull(), "overlap"))
     return out.select(
-        "lot_id", F.col("exposure.allowed").alias("allowed"), why.alias("why"), h("exposure.worst_case_total").alias("worst_case_total"),
-        F.col("exposure.overlaps").alias("overlaps"))
+        "lot_id", F.col("exposure_allowed").alias("allowed"), why.alias("why"), h("worst_case_total").alias("worst_case_total"), "overlapping")
 
 
 @query("j10_rebid_replaces", f"""
@@ -225,7 +225,7 @@ def f24(g: Given) -> DataFrame:
 def j10(g: Given) -> DataFrame:
     held = g.lots.join(g.commit.select("lot_id", "max_bid"), "lot_id")
     out = risk.check_exposure(held, g.lots, g.commit, CAPS, "max_bid")
-    return out.select("lot_id", h("exposure.worst_case_total").alias("worst_case_total"))
+    return out.select("lot_id", h("worst_case_total").alias("worst_case_total"))
 
 
 @query("o2_capital_efficiency", f"""
@@ -817,12 +817,12 @@ def u10(g: Given) -> DataFrame:
 
 
 @query("u5_commitments_from_decisions", f"""
-  with d as (select lot_id, arg_max(max_bid, decided_at) filter (where action = 'confirm' and max_bid is not null) as mb, max(decided_at) filter (where action = 'confirm') as c,
+  with d as (select lot_id, arg_max({{'v': max_bid}}, decided_at) filter (where action = 'confirm') as mbs, max(decided_at) filter (where action = 'confirm') as c,
       arg_max(action, decided_at) filter (where action in ('confirm', 'won', 'lost')) as last,
-      arg_max(hammer_price, decided_at) filter (where action = 'won' and hammer_price is not null) as hammer from v_decisions group by 1)
+      arg_max({{'v': hammer_price}}, decided_at) filter (where action = 'won') as hs from v_decisions group by 1)
   select lot_id, {r2('mb2')} as max_bid, {r2(o.landed('mb2', 'bp'))} as landed_at_max, case when last = 'confirm' then 'leading' else last end as status,
-    {r2('coalesce(nullif(hammer, 0), mb2)')} as hammer_price
-  from (select d.*, coalesce(mb, suggested_max_bid) as mb2, {o.bp_rate()} as bp from d join v_lots using (lot_id) left join v_queue using (lot_id) where c is not null)""")
+    {r2('coalesce(nullif(hs.v, 0), mb2)')} as hammer_price
+  from (select d.*, coalesce(mbs.v, suggested_max_bid) as mb2, {o.bp_rate()} as bp from d join v_lots using (lot_id) left join v_queue using (lot_id) where c is not null)""")
 def u5(g: Given) -> DataFrame:
     out = books.commitments_from_decisions(g.decisions, g.lots, g.queue)
     return out.select("lot_id", h("max_bid").alias("max_bid"), h("landed_at_max").alias("landed_at_max"), "status", h("hammer_price").alias("hammer_price"))

@@ -271,11 +271,11 @@ def exposure_sql(source: str, landed_col: str, p: Params) -> str:
     return f"""
       select *, worst <= {p.max_total_exposure} and (held or cnt + 1 <= {p.max_open_lots}) and cat_worst <= {p.max_category_exposure} as allowed,
         case when worst > {p.max_total_exposure} then 'total' when not held and cnt + 1 > {p.max_open_lots} then 'lots'
-          when cat_worst > {p.max_category_exposure} then 'category' when overlaps > 0 then 'overlap' end as why
+          when cat_worst > {p.max_category_exposure} then 'category' when n_over > 0 then 'overlap' end as why
       from (select s.*, own.landed_at_max is not null as held, cnt, tot - coalesce(own.landed_at_max, 0) + {landed_col} as worst,
           coalesce(ct, 0) - case when own.landed_at_max is not null and lower(coalesce(own.category, 'uncategorized')) = lower(coalesce(s.category, 'uncategorized'))
             then own.landed_at_max else 0 end + {landed_col} as cat_worst,
-          (select count(*) from o_overlap v where v.lot_id = s.lot_id) as overlaps
+          (select count(*) from o_overlap v where v.lot_id = s.lot_id) as n_over
         from {source} s cross join (select coalesce(sum(landed_at_max), 0) as tot, count(*) as cnt from o_live)
         left join v_commit own on own.lot_id = s.lot_id
         left join (select lower(coalesce(category, 'uncategorized')) as cat, sum(landed_at_max) as ct from o_live group by 1)

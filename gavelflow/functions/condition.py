@@ -83,7 +83,8 @@ def analyze_condition(title, condition_name=None, condition_notes=None, descript
     )
 
 
-def condition_summary(report: Column) -> Column:
+def condition_summary(report: Column | dict[str, Column]) -> Column:
+    """One line about a report given as a struct or as its columns by name."""
     parts = F.array_compact(F.array(
         F.when(F.size(report["missing_parts"]) > 0,
                F.concat(F.lit("missing "), F.array_join(F.slice(report["missing_parts"], 1, 4), ", "))),

@@ -42,13 +42,9 @@ def backfill_savings(items: DataFrame, lots: DataFrame, valuations: DataFrame) -
     todo = F.col("savings").isNull() & (F.col("value_basis") == "none")
     ref = fb.choose_reference(F.col("_retail"), F.col("_cv"), F.coalesce("_cc", F.lit(0)))
     gain = fb.savings(ref["reference_value"], F.col("landed_cost"), F.col("repair_spend"))
-    joined = joined.withColumn("_ref", F.when(todo, ref)).withColumn("_gain", F.when(todo, gain["savings"]))
-    return (
-        joined.withColumn("reference_value", F.when(todo, F.col("_ref.reference_value")).otherwise(F.col("reference_value")))
-        .withColumn("value_basis", F.when(todo, F.col("_ref.basis")).otherwise(F.col("value_basis")))
-        .withColumn("savings", F.when(todo, F.col("_gain")).otherwise(F.col("savings")))
-        .select(*items.columns)
-    )
+    made = {"reference_value": ref["reference_value"], "value_basis": ref["basis"], "savings": gain["savings"]}
+    return joined.select(*[
+        F.when(todo, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in items.columns])
 
 
 def savings_totals(items: DataFrame) -> DataFrame:

@@ -150,6 +150,12 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline_outer(F.array(made)))
 
 
+def unfold(df: DataFrame, prefix: str, struct: Column, fields: Sequence[str]) -> DataFrame:
+    """Like ``pin`` for one struct: its fields become flat columns ``<prefix>_<field>``."""
+    names = [f"{prefix}_{f}" for f in fields]
+    return df.select("*", F.inline_outer(F.array(struct)).alias(*names))
+
+
 # --- broadcasts --------------------------------------------------------------------------------------
 def bounded_count(df: DataFrame, limit: int) -> int:
     """Row count, counting no further than one past the limit."""
