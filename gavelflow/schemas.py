@@ -1,12 +1,18 @@
-"""Table schemas as DDL."""
+"""Table schemas. Built without a session, so modules can be imported before one exists."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
+_TYPES = {
+    "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "INT": T.IntegerType(), "LONG": T.LongType(),
+    "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(), "ARRAY<STRING>": T.ArrayType(T.StringType()),
+}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> T.StructType:
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 LOT = _schema("""
