@@ -93,9 +93,9 @@ _KEPT = """kept as (select * from (select * from cards where reject_reason is nu
     case when (select count(*) from kept k where k.job_id = c.job_id) > 0 then 'done' else 'empty' end as status, any_value(rejects) as rejects
   from cards c left join lines l on l.job_id = c.job_id group by 1""")
 def p9(g: Given) -> DataFrame:
-    classified = market.classify_cards(g.cards)
-    out = market.page_summary(classified, market.keep_page(classified))
-    return out.select("job_id", "results", "recorded", "status", F.array_join("rejects", "|").alias("rejects"))
+    out = market.page_summary(market.classify_pages(g.cards))
+    rejects = F.when(F.size("rejects") > 0, F.array_join("rejects", "|"))
+    return out.select("job_id", "results", "recorded", "status", rejects.alias("rejects"))
 
 
 @query("s12_market_price_load", """

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavelflow.catalog.deals import FOLD
 from gavelflow.catalog.given import Given
 from gavelflow.catalog.oracle import r2
 from gavelflow.catalog.pricing import h
@@ -221,7 +222,14 @@ def t1(g: Given) -> DataFrame:
     return state.select("lot_id", "current_bid", "bid_count", "is_closed", F.unix_micros("last_seen").alias("last_seen"))
 
 
-@query("t3_close_detection_stream")
+_MARK = "(select max(ts) - to_hours(1) from events)"
+
+
+@query("t3_close_detection_stream", f"""
+  with st as ({FOLD.replace('{obs}', 'v_obs')})
+  select lot_id, {r2('case when is_closed then final_price else current_bid end')} as final_price,
+    epoch_us(case when is_closed then closed_at else close_at + to_minutes(20) end) as closed_at, not is_closed as inferred
+  from st where is_closed or close_at + to_minutes(20) <= {_MARK}""")
 def t3(g: Given) -> DataFrame:
     streams.use_rocksdb(g.spark)
     out = drained(g, streams.detect_closes(event_stream(g)))

@@ -18,18 +18,40 @@ def listing_text(title, condition_name=None, condition_notes=None, description=N
     return F.lower(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
 
 
+_PATTERNS = [(kind, severity, p) for kind, severity, patterns in lx.SIGNAL_FAMILIES for p in patterns]
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once per row."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _phrases(text: Column, strict: bool) -> Column:
+    """First phrase of every pattern, empty where it does not occur. Plain words are looked up
+    without the regular-expression engine."""
+    def phrase(p: str) -> Column:
+        if not strict and p.replace(" ", "").isalpha():
+            return F.when(F.contains(text, F.lit(p)), F.lit(p)).otherwise(F.lit(""))
+        return F.trim(F.regexp_extract(text, _strict(p) if strict else p, 0))
+
+    return F.array(*[phrase(p) for _, _, p in _PATTERNS])
+
+
+def _signals(phrases: Column) -> Column:
+    kinds, severities = (F.array(*[F.lit(x[i]) for x in _PATTERNS]) for i in (0, 1))
+    rows = F.transform(phrases, lambda p, i: F.struct(
+        F.get(kinds, i).alias("kind"), p.alias("phrase"), F.get(severities, i).alias("severity")))
+    return F.filter(rows, lambda r: r["phrase"] != "")
+
+
 def damage_signals(text: Column, strict: bool = False) -> Column:
     """One entry per pattern that hits: kind, first phrase found, severity."""
-    cells = []
-    for kind, severity, patterns in lx.SIGNAL_FAMILIES:
-        for pattern in patterns:
-            p = _strict(pattern) if strict else pattern
-            cells.append(F.when(text.rlike(p), F.struct(
-                F.lit(kind).alias("kind"),
-                F.trim(F.regexp_extract(text, p, 0)).alias("phrase"),
-                F.lit(severity).alias("severity"),
-            )))
-    return F.array_compact(F.array(*cells))
+    return _signals(_phrases(text, strict))
+
+
+def _seen(phrases: Column, kind: str) -> Column:
+    at = [i for i, (k, _, _) in enumerate(_PATTERNS) if k == kind]
+    return F.exists(F.slice(phrases, at[0] + 1, len(at)), lambda p: p != "")
 
 
 def has_signal(text: Column, kind: str, strict: bool = False) -> Column:
@@ -54,12 +76,15 @@ def missing_phrases(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(found, tidy)))
 
 
+def missing_parts(title, condition_name=None, condition_notes=None, description=None, strict: bool = False) -> Column:
+    """Missing parts of a listing that reads as incomplete; otherwise none."""
+    text = listing_text(title, condition_name, condition_notes, description)
+    empty = F.array().cast("array<string>")
+    return F.when(has_signal(text, "incomplete", strict), missing_phrases(text)).otherwise(empty)
+
+
 def analyze_condition(title, condition_name=None, condition_notes=None, description=None, strict: bool = False) -> Column:
     """Struct of multiplier, signals, missing parts and the fatal/untested/incomplete/cosmetic flags."""
-    text = listing_text(title, condition_name, condition_notes, description)
-    fatal, untested, incomplete, cosmetic = (
-        has_signal(text, k, strict) for k in ("fatal", "untested", "incomplete", "cosmetic")
-    )
     name = F.lit("") if condition_name is None else F.coalesce(as_col(condition_name), F.lit(""))
     grade_text = F.lower(F.concat(name, F.lit(" "), F.coalesce(as_col(title), F.lit(""))))
     grade = None
@@ -67,20 +92,34 @@ def analyze_condition(title, condition_name=None, condition_notes=None, descript
         hit = grade_text.rlike(pattern)
         grade = F.when(hit, F.lit(value)) if grade is None else grade.when(hit, F.lit(value))
     grade = grade.otherwise(F.lit(lx.DEFAULT_GRADE))
-    worn = (
-        grade * F.when(untested, F.lit(0.88)).otherwise(F.lit(1.0))
-        * F.when(cosmetic, F.lit(0.94)).otherwise(F.lit(1.0))
-    )
-    multiplier = F.when(fatal, F.least(grade, F.lit(0.25))).otherwise(worn)
-    clamped = F.greatest(F.lit(0.05), F.least(F.lit(1.0), multiplier))
     empty = F.array().cast("array<string>")
-    return F.struct(
-        F.round(clamped, 4).alias("multiplier"),
-        damage_signals(text, strict).alias("signals"),
-        F.when(incomplete, missing_phrases(text)).otherwise(empty).alias("missing_parts"),
-        fatal.alias("is_fatal"), untested.alias("is_untested"),
-        incomplete.alias("is_incomplete"), cosmetic.alias("is_cosmetic"),
-    )
+
+    def report(read: Column) -> Column:
+        fatal, untested, incomplete, cosmetic = (read[k] for k in ("fatal", "untested", "incomplete", "cosmetic"))
+        worn = (
+            read["grade"] * F.when(untested, F.lit(0.88)).otherwise(F.lit(1.0))
+            * F.when(cosmetic, F.lit(0.94)).otherwise(F.lit(1.0))
+        )
+        multiplier = F.when(fatal, F.least(read["grade"], F.lit(0.25))).otherwise(worn)
+        clamped = F.greatest(F.lit(0.05), F.least(F.lit(1.0), multiplier))
+        return F.struct(
+            F.round(clamped, 4).alias("multiplier"), _signals(read["phrases"]).alias("signals"),
+            F.when(incomplete, missing_phrases(read["text"])).otherwise(empty).alias("missing_parts"),
+            fatal.alias("is_fatal"), untested.alias("is_untested"),
+            incomplete.alias("is_incomplete"), cosmetic.alias("is_cosmetic"),
+        )
+
+    def flags(read: Column) -> Column:
+        kinds = [k for k, _, _ in lx.SIGNAL_FAMILIES]
+        return F.struct(
+            read["text"].alias("text"), read["phrases"].alias("phrases"), grade.alias("grade"),
+            *[_seen(read["phrases"], k).alias(k) for k in kinds])
+
+    def phrases(text: Column) -> Column:
+        found = F.struct(text.alias("text"), _phrases(text, strict).alias("phrases"))
+        return _let(found, lambda read: _let(flags(read), report))
+
+    return _let(listing_text(title, condition_name, condition_notes, description), phrases)
 
 
 def condition_summary(report: Column | dict[str, Column]) -> Column:

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gavelflow import lexicon as lx
 from gavelflow.functions import alerts, money, text
 from gavelflow.operators.comps import _unseen, family_matches, total
-from gavelflow.operators.splitting import pin, positions, split_heavy, top_per_group
+from gavelflow.operators.splitting import pin, positions, split_heavy
 from gavelflow.params import Params
 
 EXACT_KINDS = ["exact_new", "exact_used"]
@@ -78,27 +79,42 @@ def classify_cards(cards: DataFrame) -> DataFrame:
     )
 
 
+def classify_pages(cards: DataFrame) -> DataFrame:
+    """Cards classified after they were brought together by job, so the page windows that follow
+    reuse that shuffle and the text work is spread over its tasks."""
+    return classify_cards(cards.repartition("job_id"))
+
+
+def page_results(classified: DataFrame, params: Params = Params()) -> DataFrame:
+    """Marks the cards of each job: ``kept_rank`` of the usable ones in page order with repeat urls
+    dropped, ``reject_rank`` of the others. All windows share the shuffle by job."""
+    good = F.col("reject_reason").isNull()
+    link = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("#"), F.col("position").cast("string")))
+    rows = classified.withColumn("_good", good).withColumn("_link", link)
+    first = F.row_number().over(W.partitionBy("job_id", "_good", "_link").orderBy("position")) == 1
+    rows = rows.withColumn("_first", first)
+    kept = F.row_number().over(W.partitionBy("job_id", F.col("_good") & F.col("_first")).orderBy("position"))
+    rejected = F.row_number().over(W.partitionBy("job_id", "_good").orderBy("position"))
+    return rows.withColumn("kept_rank", F.when(F.col("_good") & F.col("_first"), kept)).withColumn(
+        "reject_rank", F.when(~F.col("_good"), rejected)).drop("_good", "_link", "_first")
+
+
 def keep_page(classified: DataFrame, params: Params = Params()) -> DataFrame:
     """Usable cards of each job in page order, repeat urls dropped, up to the page limit."""
-    good = classified.where(F.col("reject_reason").isNull())
-    blank = F.coalesce(F.col("url"), F.lit("")) == ""
-    once = top_per_group(good.where(~blank), ["job_id", "url"], [F.col("position")], 1).unionByName(good.where(blank))
-    kept = top_per_group(once, ["job_id"], [F.col("position")], params.results_per_search)
-    return kept.withColumn("source", F.col("site")).drop("reject_reason")
+    kept = page_results(classified, params).where(F.col("kept_rank") <= params.results_per_search)
+    return kept.withColumn("source", F.col("site")).drop("reject_reason", "kept_rank", "reject_rank")
 
 
-def page_summary(classified: DataFrame, kept: DataFrame) -> DataFrame:
+def page_summary(classified: DataFrame, params: Params = Params()) -> DataFrame:
     """Per job: results, kept rows, up to ten reject lines in page order, and the status."""
     line = F.concat(F.substring(F.when(F.col("title") == "", F.lit("?")).otherwise(F.col("title")), 1, 60),
                     F.lit(": "), F.col("reject_reason"))
-    rejected = classified.where(F.col("reject_reason").isNotNull()).withColumn("line", line)
-    lines = top_per_group(rejected, ["job_id"], [F.col("position")], 10).groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_l"))
-    lines = lines.select("job_id", F.transform("_l", lambda s: s["line"]).alias("rejects"))
-    counts = classified.groupBy("job_id").agg(F.count(F.lit(1)).alias("results"))
-    n_kept = kept.groupBy("job_id").agg(F.count(F.lit(1)).alias("recorded"))
-    out = counts.join(n_kept, "job_id", "left").join(lines, "job_id", "left").na.fill(0, ["recorded"])
-    return out.withColumn("status", F.when(F.col("recorded") > 0, "done").otherwise("empty"))
+    out = page_results(classified, params).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("results"), F.count_if(F.col("kept_rank") <= params.results_per_search).alias("recorded"),
+        F.array_sort(F.collect_list(F.when(F.col("reject_rank") <= 10, F.struct("position", line.alias("line"))))).alias("_l"))
+    return out.select(
+        "job_id", "results", "recorded", F.transform("_l", lambda s: s["line"]).alias("rejects"),
+        F.when(F.col("recorded") > 0, "done").otherwise("empty").alias("status"))
 
 
 def new_prices(batch: DataFrame, stored: DataFrame) -> DataFrame:
