@@ -310,11 +310,11 @@ def v3(g: Given) -> DataFrame:
 
 
 @query("p5_closing_soon", f"""
-  with {valued_sql()}, near as (select * from valued where not is_closed and close_at > {AS_OF} and close_at <= {AS_OF} + to_minutes(90)
-    order by close_at, lot_id limit 25)
-  select lot_id, bid as walk_away_max_bid from near where verdict = 'bid' and bid > current_bid""")
+  with {valued_sql()}
+  select lot_id, bid as walk_away_max_bid from valued
+  where not is_closed and close_at > {AS_OF} and close_at <= {AS_OF} + to_minutes(1440) and verdict = 'bid' and bid > current_bid""")
 def p5(g: Given) -> DataFrame:
-    near = valuation.closing_soon(g.lots, g.as_of, CAPS)
+    near = valuation.closing_soon(g.lots, g.as_of, CAPS.with_(closing_soon_minutes=1440), limit=None)
     rows = value_all(g, near)
     return rows.where(F.col("recommended") & (F.col("walk_away_max_bid") > F.col("current_bid"))).select("lot_id", "walk_away_max_bid")
 

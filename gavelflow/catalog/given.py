@@ -203,7 +203,7 @@ def views(d: Dialect) -> dict[str, str]:
       from {part} where p_size % 2 = 0"""
     v["v_links"] = f"""
       select cast(l_suppkey % 6 + 1 as bigint) as watch_id, cast(l_partkey as string) as lot_id
-      from {lineitem} group by 1, 2"""
+      from {lineitem} group by 1, 2 having count(*) > 5"""
     v["v_decisions"] = f"""
       select cast(l_partkey as string) as lot_id,
         case l_linenumber % 5 when 0 then 'skip' when 1 then 'won' when 2 then 'lost' else 'confirm' end as action,
