@@ -23,9 +23,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, a local one only when unset."""
+    """Folder every executor can reach: the cluster's checkpoint folder; a temporary one only in
+    local mode, where the one machine is the cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="gavelflow-ckpt-")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix="gavelflow-ckpt-")
 
 
 def durable(df: DataFrame) -> DataFrame:
