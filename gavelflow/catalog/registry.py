@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gavelflow.catalog.given import Dialect, Given, views, with_views
 from gavelflow.catalog.oracle import oracle_views
+from gavelflow.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     load()
 
     def bind(fn):
-        return lambda spark, sf_dir: fn(Given(spark, sf_dir))
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(Given(spark, sf_dir))
+
+        return run
 
     return {name: bind(e.run) for name, e in ENTRIES.items()}
 
