@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import oracle
-from gavelflow.llm.common import documents
+from gavelflow.llm.common import documents, let
 from gavelflow.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,28 @@ def op2_packing(spark, sf_dir):
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_chat_format(spark, sf_dir):
+    """All conversations and one that holds control strings, formatted and read back."""
+    from gavelflow.llm import chat_format as chat
+    from gavelflow.llm.common import stored
+
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turn = F.col("id")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    made = chat.format_chats(chat.records(given.unionByName(own)), "record").select("conv_id", "segments")
+    back = stored(made, "chats").withColumn("whole", chat.formatted(F.col("segments")))
+    turns = chat.parsed(F.col("whole"))
+    listed = lambda ts: F.array_join(F.transform(ts, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = let(turns, lambda ts: F.struct(F.size(ts).cast("long").alias("n"), F.sha2(listed(ts), 256).alias("sha")))
+    loss = let(chat.learned(F.col("segments")), lambda x: F.struct(F.length(x).cast("long").alias("n"), F.sha2(x, 256).alias("sha")))
+    return back.select("conv_id", digest.alias("d"), loss.alias("l"), F.length("whole").cast("long").alias("formatted_chars")).select(
+        "conv_id", F.col("d.n").alias("n_turns"), F.col("d.sha").alias("turns_sha256"), F.col("l.n").alias("loss_chars"),
+        F.col("l.sha").alias("loss_sha256"), "formatted_chars")
+
+
 @query
 def op6_decontamination(spark, sf_dir):
     """Best match of every benchmark item in every document, within 5 % of edits."""
