@@ -78,6 +78,15 @@ def op6_decontamination(spark, sf_dir):
     return hits.select(F.col("_gf_id").alias("doc_id"), "item_id", "start", "end", "distance")
 
 
+@query
+def op7_token_files(spark, sf_dir):
+    """All documents written to Simple-8b files and read back."""
+    from gavelflow.llm.token_files import through_files
+
+    back = through_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     """Counts of every document and the verdict of its own rules and its host's."""
