@@ -87,6 +87,15 @@ def op7_token_files(spark, sf_dir):
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op8_substring_dedup(spark, sf_dir):
+    """Every document without the word runs that stand earlier."""
+    from gavelflow.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select(F.col("_gf_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     """Counts of every document and the verdict of its own rules and its host's."""
