@@ -50,6 +50,14 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
     return left["_gf_id"].eqNullSafe(right["_gf_id"]) & (left["_gf_hash"] == right["_gf_hash"])
 
 
+def on_doc(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join by document key, null-safe, with the key of the left side; also for tables that come from
+    one another."""
+    other = right.withColumnsRenamed({"_gf_id": "_gf_id2", "_gf_hash": "_gf_hash2"})
+    on = F.col("_gf_id").eqNullSafe(F.col("_gf_id2")) & (F.col("_gf_hash") == F.col("_gf_hash2"))
+    return left.join(other, on, how).drop("_gf_id2", "_gf_hash2")
+
+
 def with_columns_replaced(row: str, names: Sequence[str], new: dict[str, Column]) -> list[Column]:
     """The fields of struct ``row`` in order; those named in ``new`` are replaced in place, the
     others of ``new`` are appended."""

@@ -69,6 +69,18 @@ def op3_chat_format(spark, sf_dir):
         F.col("l.sha").alias("loss_sha256"), "formatted_chars")
 
 
+@query
+def op5_personal_data(spark, sf_dir):
+    """Personal data of every document, and the words that give it away."""
+    from gavelflow.llm import pii
+
+    out = pii.find_personal_data(documents(spark, sf_dir))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select(
+        F.col("_gf_id").alias("doc_id"), *counts, F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"),
+        pii.listed([*pii.KINDS, "term"]).alias("spans"))
+
+
 @query
 def op6_decontamination(spark, sf_dir):
     """Best match of every benchmark item in every document, within 5 % of edits."""
