@@ -69,6 +69,14 @@ def op3_chat_format(spark, sf_dir):
         F.col("l.sha").alias("loss_sha256"), "formatted_chars")
 
 
+@query
+def op4_license_scan(spark, sf_dir):
+    """License notices in all documents."""
+    from gavelflow.llm.license_scan import license_notices
+
+    return license_notices(documents(spark, sf_dir)).withColumnRenamed("_gf_id", "doc_id").drop("_gf_hash")
+
+
 @query
 def op5_personal_data(spark, sf_dir):
     """Personal data of every document, and the words that give it away."""
