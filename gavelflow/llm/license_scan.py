@@ -11,10 +11,11 @@ Where to look: more than 1 - ``min_coverage`` of a template's words are marked,
 that a notice of enough coverage holds at least one of them. Around every marked word of a text, the
 range that a whole notice could take is aligned; ranges that touch are one. A range is read from left
 to right, two template lengths at a time: behind a notice the search goes on, without one it moves by
-half a template. Of overlapping notices the one with the best coverage stays, then the longest.
+half a template. Of overlapping notices the one with most words aligned stays, then the one with the
+best coverage.
 
 Defined cases: a missing text is empty and has no notice; repeated rows give repeated results; of
-equal coverage the leftmost stays; an empty table gives none; columns other than id and text are not
+equal notices the leftmost stays; an empty table gives none; columns other than id and text are not
 read.
 """
 
@@ -122,6 +123,8 @@ class Template:
                 if len(pairs) < self.need:
                     a += max(1, n // 2)
                     continue
+                while len(before := align(words[low:low + pairs[0][0]], self.words)) >= self.need:
+                    pairs = before  # the leftmost first
                 if pairs[-1][0] - pairs[0][0] > n + n // 2:  # the end may belong to a second notice
                     nearer = align(words[low + pairs[0][0]:low + pairs[0][0] + n + 1], self.words)
                     if len(nearer) >= self.need:
@@ -148,13 +151,13 @@ class Scanner:
         for i, w in enumerate(words):
             if w in present:
                 where.setdefault(w, []).append(i)
-        found: list[tuple[float, int, int, int, str]] = []
+        found: list[tuple[float, float, int, int, str]] = []
         for t in self.templates:
             places = sorted(p for w in t.marked for p in where.get(w, ()))
             if places:
-                found += [(-c, a - b, a, b, t.name) for c, a, b in t.notices(words, places)]
+                found += [(-c * len(t.words), -c, a, b, t.name) for c, a, b in t.notices(words, places)]
         taken: list[tuple[int, int, str, float]] = []
-        for c, _, a, b, name in sorted(found):
+        for _, c, a, b, name in sorted(found):
             k = bisect_left(taken, (a,))
             if (k == 0 or taken[k - 1][1] < a) and (k == len(taken) or taken[k][0] > b):
                 taken.insert(k, (a, b, name, -c))
