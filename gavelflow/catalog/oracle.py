@@ -49,7 +49,7 @@ def sig(toks: str, n: int) -> str:
 
 
 def models(toks: str) -> str:
-    unit = "[0-9]+(\\.[0-9]+)?-?(" + "|".join(lx.MEASURE_UNITS) + ")"
+    unit = lx.MEASURE
     return (
         f"list_distinct(list_filter({toks}, lambda t: regexp_matches(t, '[0-9]') and regexp_full_match(t, '[a-z0-9][a-z0-9-]{{2,}}')"
         f" and not regexp_full_match(t, '(19|20)[0-9][0-9]') and not regexp_full_match(t, '{unit}')))"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavelflow import lexicon as lx
 from gavelflow.catalog import oracle as o
 from gavelflow.catalog.given import Given
 from gavelflow.catalog.oracle import LONG, P, r2
@@ -198,7 +199,7 @@ def f7(g: Given) -> DataFrame:
 
 @query("f22_pack_count", f"""
   select job_id, position, cast(case when n between 2 and 24 then n else 1 end as int) as pack
-  from (select job_id, position, try_cast(regexp_extract(lower(title), {o.lit(r'\b(\d{1,2})\s*[- ]?\s*(?:pack|pk|count|ct|pcs|pieces)\b')}, 1) as int) as n from v_cards)""")
+  from (select job_id, position, try_cast(regexp_extract(lower(title), {o.lit(lx.MULTIPACK)}, 1) as int) as n from v_cards)""")
 def f22(g: Given) -> DataFrame:
     return g.cards.select("job_id", "position", text.multipack_count("title").alias("pack"))
 
@@ -278,7 +279,6 @@ def a11(g: Given) -> DataFrame:
 
 # --- condition and repair ---------------------------------------------------------------------------
 def condition_sql(text_expr: str, grade_text: str, extra: str, source: str) -> str:
-    from gavelflow import lexicon as lx
 
     cells = []
     for kind, _, patterns in lx.SIGNAL_FAMILIES:
@@ -294,7 +294,6 @@ def condition_sql(text_expr: str, grade_text: str, extra: str, source: str) -> s
 
 
 def missing_sql(x: str) -> str:
-    from gavelflow import lexicon as lx
 
     known = "[" + o.quoted(sorted(lx.PART_PRICES, key=lambda p: -len(p))) + "]"
     found = f"regexp_extract_all({x}, {o.lit(lx.MISSING_PHRASE)}, 1)"
@@ -348,7 +347,6 @@ def f10_documents(g: Given) -> DataFrame:
 
 
 def quotes_sql() -> str:
-    from gavelflow import lexicon as lx
 
     known = "[" + o.quoted(sorted(lx.PART_PRICES, key=lambda p: -len(p))) + "]"
     prices = "map {" + ", ".join(f"'{k}': {v}" for k, v in lx.PART_PRICES.items()) + "}"

@@ -18,9 +18,8 @@ _EDGE_L, _EDGE_R = r"(?<![\w\-])", r"(?![\w\-])"
 SIGNIFICANT_PATTERN = (
     _EDGE_L + "(?!(?:" + "|".join(lx.STOPWORDS) + ")" + _EDGE_R + r")[\w\-]{2,}"
 )
-MEASURE_PATTERN = r"\d+(?:\.\d+)?-?(?:" + "|".join(lx.MEASURE_UNITS) + ")"
 MODEL_PATTERN = (
-    _EDGE_L + r"(?=[a-z\-]*[0-9])(?!(?:19|20)\d\d" + _EDGE_R + ")(?!" + MEASURE_PATTERN
+    _EDGE_L + r"(?=[a-z\-]*[0-9])(?!(?:19|20)\d\d" + _EDGE_R + ")(?!" + lx.MEASURE
     + _EDGE_R + r")[a-z0-9][a-z0-9\-]{2,}" + _EDGE_R
 )
 FAMILY_PATTERN = r"^(.+:)([a-z]*[0-9][a-z0-9]*?)[a-z]{1,2}$"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,18 +13,16 @@ from pyspark.sql import functions as F
 
 from gavelflow import lexicon as lx
 from gavelflow.operators.splitting import top_per_group
+from gavelflow.session import durable
 from gavelflow.sources import payloads
 
-_GLOBALS = "|".join(lx.PAGE_GLOBALS)
-ASSIGNED = rf"(?s)window\.(?:{_GLOBALS})\s*=\s*(\{{.*?\}});?\s*(?:</script>|window\.)"
-SCRIPT = r"""(?is)<script[^>]*type=["'](?:application/json|application/ld\+json)["'][^>]*>(.*?)</script>"""
 JSON_PRIORITY, CARD_PRIORITY = 10, 30
 RICH = ["retail_price", "close_at", "description", "condition_name", "category"]
 
 
 def json_bodies(pages: DataFrame) -> DataFrame:
     """(page_id, requested_id, blob, body) of every JSON text in a page."""
-    bodies = F.concat(F.regexp_extract_all("html", F.lit(ASSIGNED), 1), F.regexp_extract_all("html", F.lit(SCRIPT), 1))
+    bodies = F.concat(F.regexp_extract_all("html", F.lit(lx.PAGE_GLOBAL), 1), F.regexp_extract_all("html", F.lit(lx.PAGE_SCRIPT), 1))
     return pages.select("page_id", "requested_id", F.posexplode(bodies).alias("blob", "body"))
 
 
@@ -42,141 +41,154 @@ def embedded_listings(pages: DataFrame, base_url: str) -> DataFrame:
 
 
 # --- cards --------------------------------------------------------------------------------------
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_MONEY = re.compile(r"\$\s?[0-9][0-9,]*(?:\.[0-9]{2})?")
-_LABELS = {"retail": re.compile("retail|msrp|value|worth", re.I), "bid": re.compile("current|bid", re.I)}
-_LOT = re.compile(r"/p/(\d+)")
-CARD = "page_id long, requested_id string, pos int, lot_id string, title string, current_bid double, retail_price double, image string"
+_EMPTY_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Tags that end an open one of their kind.
+_SIBLINGS = {"p", "li", "option", "dt", "dd", "tr", "td", "th"}
+_HEADS = ("h1", "h2", "h3", "h4")
+_LABELS = (("retail", re.compile(lx.RETAIL_LABEL, re.I)), ("bid", re.compile(lx.BID_LABEL, re.I)))
+CARD = "page_id long, requested_id string, pos int, lot_id string, title string, current_bid double, retail_price double, image string, error string"
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "items")
+class _Outline(HTMLParser):
+    """A page as flat lists. An element is a row of ``tag, attrs, parent``; what it holds is the range
+    of elements and texts from its own place to ``last``, so nothing here recurses."""
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.items = tag, dict(attrs), parent, []
-
-    def walk(self) -> Iterator["_Node"]:
-        yield self
-        for item in self.items:
-            if isinstance(item, _Node):
-                yield from item.walk()
-
-    def texts(self) -> list[str]:
-        if self.tag in ("script", "style"):
-            return []
-        out: list[str] = []
-        for item in self.items:
-            out.extend(item.texts() if isinstance(item, _Node) else [item.strip()])
-        return [t for t in out if t]
-
-
-class _Tree(HTMLParser):
-    def __init__(self, html: str):
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("html", [], None)
+        self.tag, self.attrs, self.parent, self.last, self.first_text, self.last_text = [], [], [], [], [], []
+        self.texts: list[str] = []
+        self.open: list[int] = []
         self.feed(html)
         self.close()
+        self._end(0)
+
+    def _end(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.last[i], self.last_text[i] = len(self.tag), len(self.texts)
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, attrs, self.at)
-        self.at.items.append(node)
-        if tag not in _VOID:
-            self.at = node
+        if tag in _SIBLINGS and self.open and self.tag[self.open[-1]] == tag:
+            self._end(len(self.open) - 1)
+        self.tag.append(tag)
+        self.attrs.append(dict(attrs))
+        self.parent.append(self.open[-1] if self.open else None)
+        self.last.append(len(self.tag))
+        self.first_text.append(len(self.texts))
+        self.last_text.append(len(self.texts))
+        if tag not in _EMPTY_TAGS:
+            self.open.append(len(self.tag) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        depth = next((d for d in range(len(self.open) - 1, -1, -1) if self.tag[self.open[d]] == tag), None)
+        if depth is not None:
+            self._end(depth)
 
     def handle_data(self, data):
-        self.at.items.append(data)
+        if data.strip() and not (self.open and self.tag[self.open[-1]] in ("script", "style")):
+            self.texts.append(data.strip())
+
+    def inside(self, i: int) -> list[str]:
+        return self.texts[self.first_text[i]:self.last_text[i]]
+
+    def places(self, *tags: str, attr: str | None = None) -> list[int]:
+        return [i for i, t in enumerate(self.tag) if t in tags and (attr is None or attr in self.attrs[i])]
+
+
+def _within(places: list[int], page: _Outline, i: int) -> int | None:
+    """First of the sorted places that lies in element ``i``."""
+    k = bisect_left(places, i)
+    return places[k] if k < len(places) and places[k] < page.last[i] else None
+
+
+def _label_of(text: str, at: int) -> str | None:
+    """The label that ends nearest before ``at``; retail where two are as near."""
+    before = text[max(0, at - lx.LABEL_REACH):at]
+    ends = [(max((h.end() for h in p.finditer(before)), default=-1), name) for name, p in _LABELS]
+    nearest = max(end for end, _ in ends)
+    return None if nearest < 0 else next(name for end, name in ends if end == nearest)
 
 
 def _amounts(text: str) -> tuple[float | None, float | None]:
-    """(bid, retail): each amount goes to the nearest label before it, a tie to retail."""
-    named: dict[str, float] = {}
-    values = []
-    for m in _MONEY.finditer(text):
-        value = float(m.group(0).lstrip("$ ").replace(",", ""))
-        values.append(value)
-        gaps = {k: min((m.start() - h.end() for h in p.finditer(text, max(0, m.start() - 48), m.start())), default=None)
-                for k, p in _LABELS.items()}
-        near = [(gap, k != "retail", k) for k, gap in gaps.items() if gap is not None]
-        if near:
-            named.setdefault(min(near)[2], value)
-    bid, retail = named.get("bid"), named.get("retail")
-    if bid is None and retail is None and values:
-        return min(values), max(values) if len(values) > 1 else None
+    """(bid, retail) of a card: labelled amounts first; of the others the least is the bid and the
+    most the retail price."""
+    money = [(float(m.group(1).replace(",", "")), _label_of(text, m.start())) for m in re.finditer(lx.CARD_MONEY, text)]
+    bid = next((v for v, label in money if label == "bid"), None)
+    retail = next((v for v, label in money if label == "retail"), None)
+    values = sorted(v for v, _ in money)
     if bid is None:
-        bid = min((v for v in values if v != retail), default=None)
-    elif retail is None:
-        retail = max((v for v in values if v > bid), default=None)
+        others = [v for v in values if retail is None or v != retail]
+        bid = others[0] if others else None
+    if retail is None:
+        others = [v for v in values if bid is not None and v > bid]
+        retail = others[-1] if others else None
     return bid, retail
 
 
-def _title(card: _Node, anchor: _Node) -> str | None:
-    own = "".join(anchor.texts())
-    alts = [n.attrs.get("alt") or "" for n in card.walk() if n.tag == "img" and "alt" in n.attrs][:1]
-    heads = ["".join(next((n.texts() for n in card.walk() if n.tag == h), [])) for h in ("h1", "h2", "h3", "h4")]
-    return next((t.strip() for t in [own, *alts, *heads] if len(t.strip()) > 5), None)
-
-
-def _cards(html: str, requested: str | None) -> Iterator[dict]:
-    tree = _Tree(html)
-    seen = set()
-    for anchor in tree.root.walk():
-        hit = _LOT.search(anchor.attrs.get("href") or "") if anchor.tag == "a" else None
-        if not hit or hit.group(1) in seen:
+def _cards(html: str, requested: str | None) -> Iterator[tuple]:
+    """``(lot_id, title, bid, retail, image)`` of each lot that a page links to; where the asked lot is
+    not among them, the page itself is its card."""
+    page = _Outline(html)
+    links = [(i, m.group(1)) for i in page.places("a", attr="href") if (m := re.search(lx.LOT_LINK, page.attrs[i]["href"] or ""))]
+    alts, sources, heads = page.places("img", attr="alt"), page.places("img", attr="src"), {h: page.places(h) for h in _HEADS}
+    done = set()
+    for link, lot in links:
+        if lot in done:
+            continue
+        card = link
+        for _ in range(lx.CARD_PARENTS):
+            above = page.parent[card]
+            if above is not None and page.tag[above] not in ("body", "html"):
+                card = above
+        named = [("".join(page.inside(link))), *[page.attrs[i]["alt"] or "" for i in [_within(alts, page, card)] if i is not None]]
+        named += ["".join(page.inside(i)) for h in _HEADS for i in [_within(heads[h], page, card)] if i is not None]
+        title = next((t.strip() for t in named if len(t.strip()) > lx.TITLE_OVER), None)
+        if title is None:
             continue
-        card = anchor
-        for _ in range(4):
-            if card.parent is None or card.parent.tag in ("body", "html"):
-                break
-            card = card.parent
-        title = _title(card, anchor)
-        if title:
-            seen.add(hit.group(1))
-            bid, retail = _amounts(" ".join(card.texts()))
-            image = next((n.attrs["src"] for n in card.walk() if n.tag == "img" and n.attrs.get("src")), None)
-            yield {"lot_id": hit.group(1), "title": title, "current_bid": bid or 0.0, "retail_price": retail, "image": image}
-    if requested and requested not in seen:
-        # a detail page may not link to itself: the whole body is the card
-        body = next((n for n in tree.root.walk() if n.tag == "body"), None)
-        head = next((n for t in ("h1", "title") for n in tree.root.walk() if n.tag == t), None)
-        title = "".join(head.texts()) if body is not None and head is not None else ""
-        if title:
-            bid, retail = _amounts(" ".join(body.texts()))
-            yield {"lot_id": requested, "title": title, "current_bid": bid or 0.0, "retail_price": retail, "image": None}
-
-
-def page_cards(pages: DataFrame, base_url: str) -> DataFrame:
-    """Lots from the visible cards of a page; first link per lot wins."""
+        done.add(lot)
+        shown = next((page.attrs[i]["src"] for i in sources[bisect_left(sources, card):bisect_left(sources, page.last[card])] if page.attrs[i]["src"]), None)
+        bid, retail = _amounts(" ".join(page.inside(card)))
+        yield lot, title, bid or 0.0, retail, shown
+    body = next(iter(page.places("body")), None)
+    head = next(iter(page.places("h1") or page.places("title")), None)
+    if requested and requested not in done and body is not None and head is not None and page.inside(head):
+        bid, retail = _amounts(" ".join(page.inside(body)))
+        yield requested, "".join(page.inside(head)), bid or 0.0, retail, None
+
+
+def _rows(page_id, html: str | None, requested: str | None) -> list[tuple]:
+    try:
+        return [(page_id, requested, pos, *card, None) for pos, card in enumerate(_cards(html or "", requested))]
+    except (AssertionError, ValueError) as exc:  # markup the parser refuses
+        return [(page_id, requested, 0, None, None, None, None, None, f"{type(exc).__name__}: {exc}")]
+
+
+def page_cards(pages: DataFrame, base_url: str, errors: bool = False) -> DataFrame:
+    """Lots from the visible cards of a page; first link per lot wins. ``errors`` gives the pages that
+    could not be read instead, with the reason in ``error``."""
     columns = [part.split()[0] for part in CARD.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                {"page_id": r["page_id"], "requested_id": r["requested_id"], "pos": i, **card}
-                for r in batch.to_dict("records") for i, card in enumerate(_cards(r["html"] or "", r["requested_id"]))]
-            yield pd.DataFrame(rows, columns=columns)
+            rows = [row for p, r, h in zip(batch["page_id"].tolist(), batch["requested_id"].tolist(), batch["html"].tolist(), strict=True) for row in _rows(p, h, r)]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     found = pages.select("page_id", "requested_id", "html").mapInPandas(parse, CARD)
+    if errors:
+        return found.where(F.col("error").isNotNull()).select("page_id", "requested_id", "error")
     images = F.when(F.col("image").isNotNull(), F.array("image")).otherwise(F.array().cast("array<string>"))
     url = F.concat(F.lit(base_url.rstrip("/") + "/p/"), F.col("lot_id"))
-    return found.withColumn("images", images).withColumn("url", url).drop("image")
+    return found.where(F.col("error").isNull()).withColumn("images", images).withColumn("url", url).drop("image", "error")
 
 
 # --- strategies -----------------------------------------------------------------------------------
 def extract(pages: DataFrame, base_url: str) -> DataFrame:
-    """Listings of each page by the first strategy that finds any: embedded JSON, then cards."""
-    by_json = embedded_listings(pages, base_url).withColumn("priority", F.lit(JSON_PRIORITY))
-    by_card = page_cards(pages, base_url).withColumn("priority", F.lit(CARD_PRIORITY))
-    both = by_json.unionByName(by_card, allowMissingColumns=True)
-    best = both.groupBy("page_id").agg(F.min("priority").alias("priority"))
-    return both.join(best, ["page_id", "priority"], "left_semi").withColumn(
-        "strategy", F.when(F.col("priority") == JSON_PRIORITY, "embedded-json").otherwise("html-dom"))
+    """Listings of each page by the first strategy that finds any: embedded JSON, then cards. Cards are
+    looked for only in pages whose JSON gave nothing."""
+    by_json = durable(embedded_listings(pages, base_url).withColumn("priority", F.lit(JSON_PRIORITY)).withColumn("strategy", F.lit("embedded-json")))
+    rest = pages.join(by_json.select("page_id").distinct(), "page_id", "left_anti")
+    by_card = page_cards(rest, base_url).withColumn("priority", F.lit(CARD_PRIORITY)).withColumn("strategy", F.lit("html-dom"))
+    return by_json.unionByName(by_card, allowMissingColumns=True)
 
 
 def detail(pages: DataFrame, base_url: str) -> DataFrame:

@@ -1,14 +1,13 @@
 """Nested listing payloads: field search at any depth, coercion to a listing row, redaction.
 
-Only the search through unknown nesting runs in Python, batch by batch; it hands back field values
-and leaves every conversion to columns.
+Python turns a payload into entries (depth, object, position, name, value) for the names asked for;
+which entry serves a field, and what it means, is decided in columns.
 """
 
 from __future__ import annotations
 
 import json
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,83 +18,100 @@ from gavelflow.functions import money
 
 TEXT_FIELDS = ["title", "description", "category", "brand", "model", "upc", "condition", "condition_notes", "location", "zip"]
 RAW_FIELDS = ["retail", "current_bid", "bid_count", "premium", "open_at", "close_at", "closed", "final"]
-FOUND = "lot_id string, {}, {}, images array<string>, raw string".format(
-    ", ".join(f"{f} string" for f in TEXT_FIELDS), ", ".join(f"{f} string" for f in RAW_FIELDS))
-_MAX_DEPTH, _MAX_ITEMS, _MAX_RAW = 12, 50, 60_000
+ENTRIES = "array<struct<depth:int,object:int,position:int,name:string,value:string>>"
 
 
-def _flat(name: object) -> str:
-    return str(name).lower().replace("_", "")
+def folded(name: str) -> str:
+    """Field names are compared without case and underscores."""
+    return name.replace("_", "").casefold()
 
 
-_WANTED = {_flat(alias): field for field, aliases in lx.ALIASES.items() for alias in aliases}
-_SHAPES = [{_flat(k) for k in shape} for shape in lx.LOT_SHAPES]
+def _json(text: str | None) -> object:
+    """The JSON value a text starts with; None where there is none."""
+    try:
+        return json.JSONDecoder().raw_decode((text or "").lstrip())[0]
+    except (ValueError, RecursionError):
+        return None
 
 
-def _nodes(payload: object, items: int | None) -> Iterator[dict]:
-    """Objects of a payload, nearest to the root first."""
-    queue = deque([(payload, 0)])
-    while queue:
-        node, depth = queue.popleft()
-        if depth > _MAX_DEPTH:
-            continue
-        if isinstance(node, dict):
-            yield node
-        children = node.values() if isinstance(node, dict) else node[:items]
-        queue.extend((c, depth + 1) for c in children if isinstance(c, (dict, list)))
+def _objects(root: object) -> Iterator[tuple[int, dict]]:
+    """Every object with its depth, level by level."""
+    level, depth = [root], 0
+    while level:
+        below: list[object] = []
+        for node in level:
+            if isinstance(node, dict):
+                yield depth, node
+                below += node.values()
+            elif isinstance(node, list):
+                below += node
+        level, depth = below, depth + 1
 
 
-def _fields(payload: object) -> dict[str, object]:
-    """First non-empty value per logical field."""
-    found: dict[str, object] = {}
-    for node in _nodes(payload, _MAX_ITEMS):
-        for name, value in node.items():
-            field = _WANTED.get(_flat(name))
-            if field and field not in found and value is not None and value != "":
-                found[field] = value
-    return found
+def _entries(root: object, names: set[str]) -> list[dict]:
+    """The filled fields of those names, in the order in which they are met."""
+    return [
+        {"depth": depth, "object": i, "position": j, "name": folded(k), "value": json.dumps(v)}
+        for i, (depth, node) in enumerate(_objects(root))
+        for j, (k, v) in enumerate(node.items()) if v is not None and v != "" and folded(k) in names]
 
 
-def _text(value: object) -> str | None:
-    if isinstance(value, dict):
-        value = next((value[k] for k in ("name", "title", "value", "text") if isinstance(value.get(k), str)), None)
-    elif isinstance(value, list):
-        value = ", ".join(t for t in map(_text, value[:5]) if t)
-    return None if value is None else (str(value).strip() or None)
+def entries(json_column: str, names: Iterable[str]) -> Column:
+    """Entries of one payload per row."""
+    wanted = {folded(n) for n in names}
 
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_entries(_json(t), wanted) for t in texts], dtype=object)
 
-def _images(value: object) -> list[str]:
-    urls = [v if isinstance(v, str) else (v.get("url") or v.get("src") or v.get("fullPath")) if isinstance(v, dict) else None
-            for v in (value if isinstance(value, list) else [])[:12]]
-    return [u for u in urls if isinstance(u, str)]
+    return F.pandas_udf(search, ENTRIES)(json_column)
 
 
-def _found_row(node: object) -> dict | None:
-    f = _fields(node)
-    if f.get("id") is None or not f.get("title"):
-        return None
-    raw = json.dumps(node)
-    row: dict[str, object] = {"lot_id": str(f["id"]), "images": _images(f.get("images")),
-                              "raw": raw if len(raw) < _MAX_RAW else '{"_truncated": true}'}
-    row.update({t: _text(f.get(t)) for t in TEXT_FIELDS})
-    row.update({r: json.dumps(f[r]) if r in f else None for r in RAW_FIELDS})
-    return row
+def lot_objects(json_column: str, names: Iterable[str]) -> Column:
+    """Every lot-shaped object of a payload: which shape, its place, its text and its entries."""
+    wanted = {folded(n) for n in names}
+    shapes = [{folded(k) for k in shape} for shape in lx.LOT_SHAPES]
 
+    def of(text: str | None) -> list[dict]:
+        out = []
+        for i, (_, node) in enumerate(_objects(_json(text))):
+            have = set(map(folded, node))
+            fits = [s for s, shape in enumerate(shapes) if shape <= have]
+            if fits:
+                out.append({"shape": fits[0], "node": i, "raw": json.dumps(node), "entries": _entries(node, wanted)})
+        return out
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([of(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(search, f"array<struct<shape:int,node:int,raw:string,entries:{ENTRIES}>>")(json_column)
 
-def _parsed(text: object) -> object:
-    try:
-        return json.loads(text)
-    except (TypeError, ValueError):
-        pass
-    # text caught past the end of its object: keep what the first balanced value holds
-    try:
-        return json.JSONDecoder().raw_decode(text)[0]
-    except (TypeError, ValueError):
-        return None
 
+def nearest(found: Column, names: Iterable[str]) -> Column:
+    """Value of the entry of those names that is nearest to the root, then first."""
+    named = F.filter(found, lambda e: e["name"].isin(sorted({folded(n) for n in names})))
+    return F.array_min(F.transform(named, lambda e: F.struct(e["depth"], e["object"], e["position"], e["value"].alias("value"))))["value"]
 
-def _as_frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)
+
+def json_text(value: Column) -> Column:
+    """A JSON value as text: an object by its name, a list by its items, a scalar as it is."""
+    def of(v: Column) -> Column:
+        named = F.coalesce(*[F.get_json_object(v, f"$.{k}") for k in ("name", "title", "value", "text")])
+        return F.when(v.startswith("{"), named).otherwise(v)
+
+    listed = F.array_join(F.filter(F.transform(F.from_json(value, "array<string>"), of), lambda t: F.trim(t) != ""), ", ")
+    whole = F.when(value.startswith("{"), of(value)).when(value.startswith("["), listed).otherwise(json_scalar(value))
+    return F.nullif(F.trim(whole), F.lit(""))
+
+
+def json_urls(value: Column) -> Column:
+    """Addresses in a JSON list of texts or of objects."""
+    def of(v: Column) -> Column:
+        return F.when(v.startswith("{"), F.coalesce(*[F.get_json_object(v, f"$.{k}") for k in ("url", "src", "fullPath")])).otherwise(v)
+
+    listed = F.filter(F.transform(F.from_json(value, "array<string>"), of), lambda u: u.isNotNull())
+    return F.when(value.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
 
 
 def find_listings(payloads: DataFrame, json_column: str, keys: list[str], nested: bool = False) -> DataFrame:
@@ -103,32 +119,20 @@ def find_listings(payloads: DataFrame, json_column: str, keys: list[str], nested
 
     Keeps the key columns. ``shape`` and ``node`` give the order in which objects count as found.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in payloads.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "shape int", "node int", FOUND])
-    columns = [part.split()[0] for part in schema.split(", ")]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                payload = _parsed(record[json_column])
-                if payload is None:
-                    continue
-                key = {k: record[k] for k in keys}
-                if not nested:
-                    row = _found_row(payload)
-                    if row:
-                        rows.append({**key, "shape": 0, "node": 0, **row})
-                    continue
-                for i, node in enumerate(_nodes(payload, None)):
-                    names = {_flat(k) for k in node}
-                    shape = next((s for s, required in enumerate(_SHAPES) if required <= names), None)
-                    row = _found_row(node) if shape is not None else None
-                    if row:
-                        rows.append({**key, "shape": shape, "node": i, **row})
-            yield _as_frame(rows, columns)
-
-    return payloads.select(*keys, json_column).mapInPandas(search, schema)
+    names = [a for aliases in lx.ALIASES.values() for a in aliases]
+    if nested:
+        rows = payloads.select(*keys, F.explode(lot_objects(json_column, names)).alias("_o")).select(
+            *keys, "_o.shape", "_o.node", "_o.raw", F.col("_o.entries").alias("_e"))
+    else:
+        made = payloads.select(*keys, F.col(json_column).alias("raw"), entries(json_column, names).alias("_e"))
+        rows = made.select(*keys, F.lit(0).alias("shape"), F.lit(0).alias("node"), "raw", "_e")
+    values = rows.select(*keys, "shape", "node", "raw", F.explode(F.array(F.struct(*[
+        nearest(F.col("_e"), aliases).alias(field) for field, aliases in lx.ALIASES.items()]))).alias("_f"))
+    texts = [json_text(F.col(f"_f.{t}")).alias(t) for t in TEXT_FIELDS]
+    found = values.select(
+        *keys, "shape", "node", json_scalar(F.col("_f.id")).alias("lot_id"), *texts, *[F.col(f"_f.{r}").alias(r) for r in RAW_FIELDS],
+        json_urls(F.col("_f.images")).alias("images"), "raw")
+    return found.where(F.col("lot_id").isNotNull() & F.col("title").isNotNull())
 
 
 # --- coercion ------------------------------------------------------------------------------------
@@ -170,43 +174,40 @@ def to_listings(found: DataFrame, base_url: str, keys: list[str]) -> DataFrame:
 
 
 def listings(payloads: DataFrame, base_url: str, json_column: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
-    """One listing per payload; payloads without id or title give none."""
+    """One listing per payload; payloads that are no JSON, or without id or title, give none."""
     return to_listings(find_listings(payloads, json_column, list(keys)), base_url, list(keys))
 
 
 def deep_find(payloads: DataFrame, json_column: str, names: list[str], out: str = "found") -> DataFrame:
-    """Adds the first non-empty value of any of the names, as JSON text."""
-    wanted = {_flat(n) for n in names}
-
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([_first(_parsed(t), wanted) for t in texts], dtype=object)
-
-    return payloads.withColumn(out, F.pandas_udf(search, "string")(json_column))
+    """Adds the nearest non-empty value of any of the names, at any depth, as JSON text."""
+    return payloads.withColumn(out, nearest(entries(json_column, names), names))
 
 
-def _first(payload: object, wanted: set[str]) -> str | None:
-    hits = (v for n in _nodes(payload, _MAX_ITEMS) for k, v in n.items() if _flat(k) in wanted and v is not None and v != "")
-    hit = next(hits, None)
-    return None if hit is None else json.dumps(hit)
+# --- redaction ------------------------------------------------------------------------------------
+REDACTED = "<redacted>"
 
 
-# --- redaction ------------------------------------------------------------------------------------
-_SENSITIVE = set(lx.SENSITIVE_KEYS)
+def _redacted(text: str | None) -> dict:
+    """Values are replaced while the objects are read, so depth plays no part."""
+    secret = {folded(k) for k in lx.SENSITIVE_KEYS}
 
+    def clean(pairs: list[tuple[str, object]]) -> dict:
+        return {k: REDACTED if folded(k) in secret else v for k, v in pairs}
 
-def _scrub(node: object, depth: int = 0) -> object:
-    if depth > 14:
-        return node
-    if isinstance(node, dict):
-        return {k: "<redacted>" if _flat(k) in _SENSITIVE else _scrub(v, depth + 1) for k, v in node.items()}
-    return [_scrub(v, depth + 1) for v in node[:200]] if isinstance(node, list) else node
+    if text is None:
+        return {"value": None, "error": None}
+    try:
+        return {"value": json.dumps(json.loads(text, object_pairs_hook=clean)), "error": None}
+    except (ValueError, RecursionError) as exc:
+        return {"value": None, "error": f"{type(exc).__name__}: not readable as JSON"}
 
 
-def redact(payloads: DataFrame, json_column: str) -> DataFrame:
-    """Credential-like values replaced at any depth; long lists cut to 200 items."""
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def redact(payloads: DataFrame, json_column: str, error_column: str = "redaction_error") -> DataFrame:
+    """Credential-like values replaced at any depth. A text that is no JSON becomes null, with the
+    reason in ``error_column``; it is never passed on as it was."""
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([None if t is None else json.dumps(_scrub(json.loads(t))) for t in texts], dtype=object)
+            yield pd.DataFrame([_redacted(t) for t in texts], columns=["value", "error"], dtype=object)
 
-    return payloads.withColumn(json_column, F.pandas_udf(clean, "string")(json_column))
+    made = payloads.withColumn("_clean", F.pandas_udf(search, "value string, error string")(json_column))
+    return made.withColumns({json_column: F.col("_clean.value"), error_column: F.col("_clean.error")}).drop("_clean")

@@ -51,6 +51,33 @@ def test_redaction(spark):
     assert json.loads(payloads.redact(df, "value").first()["value"]) == {"a": [{"access_token": "<redacted>", "b": 1}], "Email": "<redacted>"}
 
 
+def test_nothing_is_cut_from_payloads(spark):
+    deep: object = {"Api_Key": "s3cret", "msrp": 7}
+    for _ in range(40):
+        deep = [{"level": deep}]
+    body = {"id": 1, "title": "x" * 70_000, "photos": [f"u{i}" for i in range(40)], "list": [{"n": i} for i in range(300)] + [{"secret": "s3cret", "highBid": 9}], "deep": deep}
+    bad = ["{not json", "[" * 100_000, '{"a": 1} tail', None]
+    df = spark.createDataFrame([(json.dumps(body),), *[(b,) for b in bad]], "value string")
+    clean = payloads.redact(df, "value").collect()
+    assert len(clean) == 5 and "s3cret" not in clean[0]["value"] and len(json.loads(clean[0]["value"])["list"]) == 301
+    assert [r["value"] for r in clean[1:]] == [None] * 4 and [r["redaction_error"] is None for r in clean] == [True, False, False, False, True]
+    (got,) = payloads.listings(df, BASE).collect()
+    assert (got["retail_price"], got["current_bid"], len(got["images"]), len(got["title"])) == (7.0, 9.0, 40, 70_000)
+    assert json.loads(got["raw"]) == body
+    assert payloads.deep_find(df, "value", ["highbid"]).first()["found"] == "9"
+    assert len(payloads.find_listings(spark.createDataFrame([(json.dumps({"lots": [{"id": i, "title": f"lot {i}"} for i in range(120)]}),)], "value string"), "value", [], nested=True).collect()) == 120
+
+
+def test_odd_pages_do_not_stop_the_job(spark):
+    deep = "<html><body>" + "<div>" * 5000 + '<a href="/p/9">Deep garden chair</a> $4.00' + "<p>" * 3000
+    rows = [(1, None, deep), (2, None, None), (3, None, "<![bad"), (4, "8", "<h1>no body"), (5, None, CARDS)]
+    df = spark.createDataFrame(rows, "page_id long, requested_id string, html string")
+    got = sorted((r["page_id"], r["lot_id"], r["current_bid"]) for r in pages.page_cards(df, BASE).collect())
+    assert got == [(1, "9", 4.0), (5, "11", 41.0), (5, "12", 5.0)]
+    assert {r["page_id"] for r in pages.page_cards(df, BASE, errors=True).collect()} <= {3}
+    assert pages.extract(df, BASE).count() == 3
+
+
 def test_price_sheets(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Title , PRICE,Shipping,extra\nOak chair,"$1,200.50",5,z\n,9,,\nLamp,cheap,,\n', encoding="utf-8")
     (tmp_path / "note.txt").write_text("no")
