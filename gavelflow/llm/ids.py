@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Sequence
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -28,6 +30,13 @@ def _pieces(text: str) -> list[str] | None:
     return None if _ODD_SPACE.search(text) else _PIECE.findall(text)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class IdEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -35,7 +44,7 @@ class IdEncoder:
     tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,28 +56,28 @@ class IdEncoder:
         self._remember = remember
 
     def _encoded(self, texts: Sequence[str]) -> list[bytes]:
-        import numpy as np
-
         made = self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in made]
+        return [_bytes(e.ids) for e in made]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text. Callers bound the size of a batch; see ``batches``."""
         pieces = [_pieces(t) for t in texts]
         known = self._known
-        missing = {p for ps in pieces if ps is not None for p in ps if p not in known}
-        if len(known) + len(missing) > self._remember:
+        found = [None if ps is None else list(map(known.get, ps)) for ps in pieces]
+        missing = {p for ps, vs in zip(pieces, found, strict=True) if vs is not None and None in vs for p, v in zip(ps, vs, strict=True) if v is None}
+        fresh = dict(zip(missing, self._encoded(missing), strict=True))
+        out = []
+        for text, ps, vs in zip(texts, pieces, found, strict=True):
+            if vs is None:
+                out.append(self._encoded([text])[0])
+                continue
+            if None in vs:
+                vs = [fresh[p] if v is None else v for p, v in zip(ps, vs, strict=True)]
+            out.append(b"".join(vs))
+        if len(known) + len(fresh) > self._remember:
             known.clear()
-            missing = {p for ps in pieces if ps is not None for p in ps}
-        fresh = list(missing)
-        known.update(zip(fresh, self._encoded(fresh), strict=True))
-        out = [b"" if ps is None else b"".join(map(known.__getitem__, ps)) for ps in pieces]
-        for i, ps in enumerate(pieces):
-            if ps is None:
-                out[i] = self._encoded([texts[i]])[0]
-        for p in fresh:  # long pieces (a text without spaces) are not worth the memory
-            if len(p) > _LONGEST_PIECE:
-                del known[p]
+        # long pieces (a text without spaces) are not worth the memory
+        known.update(fresh if max(map(len, fresh), default=0) <= _LONGEST_PIECE else {p: v for p, v in fresh.items() if len(p) <= _LONGEST_PIECE})
         return out
 
 
