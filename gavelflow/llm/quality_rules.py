@@ -18,6 +18,7 @@ from gavelflow.llm.common import DOC_KEY, SPACE_CHARS, WORD, let, packed_rows, s
 
 SYMBOLS = "#*$%&|<>"
 RUN = 5
+SALTS = 64
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -88,9 +89,11 @@ def host_rates(failures: DataFrame) -> DataFrame:
 def quality_verdicts(docs: DataFrame, host: str = "source", max_host_rate: float = 0.5, **rules) -> DataFrame:
     """Per row of ``docs``: key, counts, ``base_failed`` and ``kept``."""
     failures = rule_failures(docs, host, **rules)
+    # a host may hold a third of all documents: the short side carries every salt
     bad = host_rates(failures).where(F.col("shrunk_rate") > max_host_rate).select(
-        F.col("_gf_host").alias("_bad"))
-    judged = failures.join(bad, failures["_gf_host"] == bad["_bad"], "left")
+        F.col("_gf_host").alias("_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.hash(failures["_gf_hash"], failures["_gf_id"]), F.lit(SALTS))
+    judged = failures.join(bad, (failures["_gf_host"] == bad["_bad"]) & (salt == bad["_salt"]), "left")
     return judged.select(
         *DOC_KEY, *COUNTS, "base_failed", (~F.col("base_failed") & F.col("_bad").isNull()).alias("kept"))
 
