@@ -81,14 +81,13 @@ def p8(g: Given) -> DataFrame:
 
 
 _KEPT = """kept as (select * from (select * from cards where reject_reason is null and url is null union all
-      select * from cards where reject_reason is null and url is not null qualify row_number() over (partition by job_id, url order by position) = 1)
-    qualify row_number() over (partition by job_id order by position) <= 12)"""
+      select * from cards where reject_reason is null and url is not null qualify row_number() over (partition by job_id, url order by position) = 1))"""
 
 
 @query("p9_page_of_cards", f"""
   with {_cards_sql()}, {_KEPT},
-  lines as (select job_id, string_agg(case when tt = '' then '?' else tt[1:60] end || ': ' || reject_reason, '|' order by position) as rejects
-    from (select * from cards where reject_reason is not null qualify row_number() over (partition by job_id order by position) <= 10) group by 1)
+  lines as (select job_id, string_agg(case when tt = '' then '?' else tt end || ': ' || reject_reason, '|' order by position) as rejects
+    from cards where reject_reason is not null group by 1)
   select c.job_id, count(*) as results, (select count(*) from kept k where k.job_id = c.job_id) as recorded,
     case when (select count(*) from kept k where k.job_id = c.job_id) > 0 then 'done' else 'empty' end as status, any_value(rejects) as rejects
   from cards c left join lines l on l.job_id = c.job_id group by 1""")
@@ -403,10 +402,9 @@ def p4(g: Given) -> DataFrame:
 
 
 @query("p4_due_for_refresh_batch", f"""
-  select lot_id from (select * from (select * from v_lots where not is_closed order by close_at nulls first, lot_id limit 360)
-    where coalesce(close_at <= {AS_OF} + to_minutes(90), false) or last_seen is null or last_seen <= {AS_OF} - to_minutes(15) order by close_at nulls first, lot_id limit 120)""")
+  select lot_id from (select * from v_lots where not is_closed and (coalesce(close_at <= {AS_OF} + to_minutes(90), false) or last_seen is null or last_seen <= {AS_OF} - to_minutes(15)) order by close_at nulls first, lot_id limit 120)""")
 def p4_batch(g: Given) -> DataFrame:
-    return ol.due_for_refresh(g.lots, g.as_of, P).select("lot_id")
+    return ol.due_for_refresh(g.lots, g.as_of, P, limit=120).select("lot_id")
 
 
 @query("p11_missing_fields", """
@@ -485,10 +483,9 @@ def pr_lex(kind: str) -> list[str]:
     return next(p for k, _, p in lx.SIGNAL_FAMILIES if k == kind)
 
 
-@query("p1_watch_reasons", f"select watch_id, lot_id, reasons from ({reasons_sql()})")
+@query("p1_watch_reasons", f"select watch_id, lot_id, reasons from ({reasons_sql()}) r join v_links using (watch_id, lot_id)")
 def p1(g: Given) -> DataFrame:
-    searches = [r.asDict() for r in g.watches.limit(100).collect()]
-    out = watch.explain_matches(g.lots, searches, g.as_of)
+    out = watch.explain_matches(g.lots, g.watches, g.links, g.as_of)
     return out.select("watch_id", "lot_id", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -572,9 +569,9 @@ def a17(g: Given) -> DataFrame:
 # --- feed, queue, digest --------------------------------------------------------------------------------
 @query("o1_queue_ranking", f"""
   select lot_id, status, {r2('rank_score', 4)} as rank_score from v_queue join v_lots using (lot_id)
-  where status in ('pending', 'blocked') and (close_at is null or close_at >= {AS_OF}) order by v_queue.rank_score desc, lot_id limit 200""")
+  where status in ('pending', 'blocked') and (close_at is null or close_at >= {AS_OF})""")
 def o1_queue(g: Given) -> DataFrame:
-    out = reports.read_queue(g.queue, g.lots, g.as_of, include_blocked=True, limit=200)
+    out = reports.read_queue(g.queue, g.lots, g.as_of, include_blocked=True)
     return out.select("lot_id", "status", h("rank_score", 4).alias("rank_score"))
 
 
@@ -619,14 +616,13 @@ _DAY = "timestamp '2001-03-01'"
 
 @query("w3_digest_newest_per_lot", f"""
   select lot_id, valuation_id from (select * from v_valuations where recommended and computed_at >= {_DAY} - to_hours(24)
-    qualify row_number() over (partition by lot_id order by computed_at desc, valuation_id desc) = 1) order by projected_profit desc, lot_id limit 40""")
+    qualify row_number() over (partition by lot_id order by computed_at desc, valuation_id desc) = 1)""")
 def w3(g: Given) -> DataFrame:
     return reports.digest_picks(g.valuations, F.lit("2001-03-01").cast("timestamp")).select("lot_id", "valuation_id")
 
 
 @query("w3_digest_most_profitable", f"""
-  select lot_id, valuation_id from (select * from v_valuations where recommended and computed_at >= {_DAY} - to_hours(24)
-    order by projected_profit desc, lot_id, valuation_id limit 40) qualify row_number() over (partition by lot_id order by projected_profit desc, valuation_id) = 1""")
+  select lot_id, valuation_id from (select * from v_valuations where recommended and computed_at >= {_DAY} - to_hours(24)) qualify row_number() over (partition by lot_id order by projected_profit desc, valuation_id) = 1""")
 def w3_profit(g: Given) -> DataFrame:
     return reports.digest_picks(g.valuations, F.lit("2001-03-01").cast("timestamp"), newest=False).select("lot_id", "valuation_id")
 
@@ -669,7 +665,7 @@ def s15(g: Given) -> DataFrame:
 @query("a10_close_price_by_category", f"""
   select coalesce(category, 'uncategorized') as category, count(*) as lots, {r2('median(final_price)')} as median_price,
     {r2('median(case when retail_price > 0 then final_price / retail_price end)', 4)} as pct_of_retail
-  from (select * from v_lots where is_closed and final_price is not null order by closed_at desc, lot_id limit 400) group by 1 order by lots desc, category limit 12""")
+  from v_lots where is_closed and final_price is not null group by 1""")
 def a10(g: Given) -> DataFrame:
     out = reports.close_price_by_category(g.lots)
     return out.select("category", "lots", h("median_price").alias("median_price"), h("pct_of_retail", 4).alias("pct_of_retail"))
@@ -677,7 +673,7 @@ def a10(g: Given) -> DataFrame:
 
 @query("a10_recent_closes", f"""
   select lot_id, {r2('final_price')} as final_price, {r2('final_price / nullif(retail_price, 0)', 4)} as pct from v_lots
-  where is_closed and final_price is not null order by closed_at desc, lot_id limit 30""")
+  where is_closed and final_price is not null""")
 def a10_recent(g: Given) -> DataFrame:
     return reports.recent_closes(g.lots).select("lot_id", h("final_price").alias("final_price"), h("pct", 4).alias("pct"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,15 +181,15 @@ def s18(g: Given) -> DataFrame:
 def event_stream(g: Given) -> DataFrame:
     """v_obs over a stream of the events file."""
     schema = g.table("events").schema
-    raw = g.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(g.sf_dir)
+    # one file or a folder of part files; a few files per batch
+    raw = g.spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{g.sf_dir}/[e]vents.parquet")
     raw.createOrReplaceTempView("gavelflow_event_stream")
     sql = g.defs["v_obs"].replace(f"parquet.`{g.sf_dir}/events.parquet`", "gavelflow_event_stream")
     return g.spark.sql(sql)
 
 
 def _folder(g: Given) -> str:
-    return tempfile.mkdtemp(prefix="stream-", dir=shared_dir(g.spark)) if g.spark.conf.get("spark.checkpoint.dir", None) is None else (
-        f"{shared_dir(g.spark).rstrip('/')}/stream-{g.spark.sparkContext.applicationId}-{next(_COUNTER)}")
+    return f"{shared_dir(g.spark).rstrip('/')}/stream-{g.spark.sparkContext.applicationId}-{next(_COUNTER)}"
 
 
 _COUNTER = iter(range(1_000_000))
@@ -218,7 +216,7 @@ def t2(g: Given) -> DataFrame:
 def t1(g: Given) -> DataFrame:
     folder = _folder(g)
     streams.current_lots(event_stream(g), f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
-    state = g.spark.read.parquet(streams.state_version(f"{folder}/state", 0))
+    state = streams.read_state(g.spark, f"{folder}/state")
     return state.select("lot_id", "current_bid", "bid_count", "is_closed", F.unix_micros("last_seen").alias("last_seen"))
 
 
@@ -239,7 +237,7 @@ def t3(g: Given) -> DataFrame:
 @query("t4_dedupe_stream", "select lot_id, current_bid from v_obs group by 1, 2")
 def t4(g: Given) -> DataFrame:
     streams.use_rocksdb(g.spark)
-    slim = event_stream(g).select("lot_id", "current_bid")
-    return drained(g, streams.once(slim, ["lot_id", "current_bid"])).select("lot_id", "current_bid")
+    slim = event_stream(g).select("lot_id", "current_bid", "observed_at")
+    return drained(g, streams.once(slim, ["lot_id", "current_bid"], "observed_at", "90 days")).select("lot_id", "current_bid")
 
 

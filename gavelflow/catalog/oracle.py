@@ -44,8 +44,9 @@ def tokens(folded: str) -> str:
     return f"regexp_extract_all({folded}, '[\\w\\-]+')"
 
 
-def sig(toks: str, n: int) -> str:
-    return f"list_filter({toks}, lambda t: len(t) > 1 and t not in ({quoted(lx.STOPWORDS)}))[1:{n}]"
+def sig(toks: str, n: int | None) -> str:
+    some = f"list_filter({toks}, lambda t: len(t) > 1 and t not in ({quoted(lx.STOPWORDS)}))"
+    return some if n is None else f"{some}[1:{n}]"
 
 
 def models(toks: str) -> str:

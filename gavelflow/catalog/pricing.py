@@ -81,8 +81,7 @@ def f20(g: Given) -> DataFrame:
 @query("o1_walk_away_ranking", VALUED + f"""
   select part, {r2('comp_value')} as comp_value, level, {r2('net')} as net_resale, bid as walk_away_max_bid, {r2('profit')} as projected_profit,
     {r2('rank', 4)} as rank_score
-  from (select *, case when landed <= 0 then 0.0 else profit / landed * case level when 'high' then 1.0 when 'medium' then 0.8 when 'low' then 0.55 else 0.2 end end as rank from r)
-  order by rank desc, part limit 50""")
+  from (select *, case when landed <= 0 then 0.0 else profit / landed * case level when 'high' then 1.0 when 'medium' then 0.8 when 'low' then 0.55 else 0.2 end end as rank from r)""")
 def o1_walk_away(g: Given) -> DataFrame:
     agg = oc.aggregate_comps(part_points(g), ["part"], g.as_of, LONG)
     conf = money.score_confidence(*[F.col(c) for c in ("comp_value", "comp_count", "spread", "median_age_days", "sources")], P)
@@ -94,7 +93,7 @@ def o1_walk_away(g: Given) -> DataFrame:
     rows = rows.withColumn("landed", money.landed_cost(F.col("bid"), bp, P.tax_rate))
     rows = rows.withColumn("profit", F.col("net") - F.col("landed")).withColumn(
         "rank", money.rank_score(F.col("profit"), F.col("landed"), F.col("c.level")))
-    best = rows.orderBy(F.desc("rank"), "part").limit(50)
+    best = rows.orderBy(F.desc("rank"), "part")
     return best.select(
         "part", h("comp_value").alias("comp_value"), F.col("c.level").alias("level"), h("net").alias("net_resale"),
         F.col("bid").alias("walk_away_max_bid"), h("profit").alias("projected_profit"), h("rank", 4).alias("rank_score"))

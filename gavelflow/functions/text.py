@@ -66,15 +66,17 @@ def tokenize(c: Column | str) -> Column:
     return F.regexp_extract_all(folded_lower(c), F.lit(r"[\w\-]+"), 0)
 
 
-def _significant(folded: Column, limit: int) -> Column:
-    return F.slice(F.regexp_extract_all(folded, F.lit(SIGNIFICANT_PATTERN), 0), 1, limit)
+def _significant(folded: Column, limit: int | None) -> Column:
+    every = F.regexp_extract_all(folded, F.lit(SIGNIFICANT_PATTERN), 0)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 def _models(folded: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(folded, F.lit(MODEL_PATTERN), 0))
 
 
-def significant_tokens(c: Column | str, limit: int = 6) -> Column:
+def significant_tokens(c: Column | str, limit: int | None = None) -> Column:
+    """Words that are no stopwords, in text order: all, or the first ``limit``."""
     return _significant(folded_lower(c), limit)
 
 

@@ -173,7 +173,10 @@ def new_comps(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _unseen(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     blank = F.coalesce(F.col("url"), F.lit("")) == ""
-    linked = batch.where(~blank).dropDuplicates(keys)
+    # of rows that repeat a key the first stays: earliest seen, then by all other columns
+    rest = [c for c in batch.columns if c not in keys]
+    order = [F.col("observed_at").asc_nulls_last()] if "observed_at" in rest else []
+    linked = top_per_group(batch.where(~blank), keys, [*order, F.to_json(F.struct(*rest))], 1)
     fresh = linked.join(stored.select(*keys).distinct(), keys, "left_anti")
     return fresh.unionByName(batch.where(blank))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.functions import text
-from gavelflow.operators.splitting import previous_in_time, running_max_in_time, top_per_group
+from gavelflow.operators.splitting import first_rows, previous_in_time, running_max_in_time, top_per_group
 from gavelflow.params import Params
 
 # attributes whose newest non-null value wins
@@ -126,7 +126,9 @@ def closed_to_comps(lots: DataFrame, stored: DataFrame, inferred: bool = False)
         F.col("retail_price"), F.col("category"), F.lit(inferred).alias("inferred_final"),
     )
     known = stored.where(F.col("source") == "house").select("query_key", "url").distinct()
-    return comps.dropDuplicates(["query_key", "url"]).join(known, ["query_key", "url"], "left_anti")
+    # a lot seen closed twice counts once: its earliest close, then the lowest price
+    once = top_per_group(comps, ["query_key", "url"], [F.col("sold_at").asc_nulls_last(), F.col("price"), F.col("title")], 1)
+    return once.join(known, ["query_key", "url"], "left_anti")
 
 
 def sweep_expired(lots: DataFrame, as_of: Column, params: Params = Params()) -> DataFrame:
@@ -139,19 +141,16 @@ def sweep_expired(lots: DataFrame, as_of: Column, params: Params = Params()) ->
     )
 
 
-def due_for_refresh(lots: DataFrame, as_of: Column, params: Params = Params(), limit: int | None = 120) -> DataFrame:
-    """Open lots worth reading again, nearest close first: past close, closing soon, or stale.
-
-    The job asks for at most ``limit`` lots, looked for among the three times as many nearest."""
+def due_for_refresh(lots: DataFrame, as_of: Column, params: Params = Params(), limit: int | None = None) -> DataFrame:
+    """Open lots worth reading again: past close, closing soon, or stale; all, or the ``limit`` nearest
+    to their close."""
     open_lots = lots.where(~F.col("is_closed"))
     nearest = [F.col("close_at").asc_nulls_first(), F.col("lot_id")]
-    if limit is not None:
-        open_lots = open_lots.orderBy(*nearest).limit(3 * limit)
     soon = as_of + F.expr(f"INTERVAL {params.closing_soon_minutes} MINUTES")
     stale = as_of - F.expr(f"INTERVAL {params.stale_minutes} MINUTES")
     due = open_lots.where(
         F.coalesce(F.col("close_at") <= soon, F.lit(False)) | F.col("last_seen").isNull() | (F.col("last_seen") <= stale))
-    return due if limit is None else due.orderBy(*nearest).limit(limit)
+    return first_rows(due, nearest, limit)
 
 
 def align_schema(stored: DataFrame, wanted) -> DataFrame:

@@ -99,19 +99,24 @@ def page_results(classified: DataFrame, params: Params = Params()) -> DataFrame:
         "reject_rank", F.when(~F.col("_good"), rejected)).drop("_good", "_link", "_first")
 
 
+def _recorded(params: Params) -> Column:
+    limit = params.results_per_search
+    return F.col("kept_rank").isNotNull() if limit is None else F.col("kept_rank") <= limit
+
+
 def keep_page(classified: DataFrame, params: Params = Params()) -> DataFrame:
-    """Usable cards of each job in page order, repeat urls dropped, up to the page limit."""
-    kept = page_results(classified, params).where(F.col("kept_rank") <= params.results_per_search)
+    """Usable cards of each job in page order, repeat urls dropped; all, or the first
+    ``results_per_search``."""
+    kept = page_results(classified, params).where(_recorded(params))
     return kept.withColumn("source", F.col("site")).drop("reject_reason", "kept_rank", "reject_rank")
 
 
 def page_summary(classified: DataFrame, params: Params = Params()) -> DataFrame:
-    """Per job: results, kept rows, up to ten reject lines in page order, and the status."""
-    line = F.concat(F.substring(F.when(F.col("title") == "", F.lit("?")).otherwise(F.col("title")), 1, 60),
-                    F.lit(": "), F.col("reject_reason"))
+    """Per job: results, kept rows, the reject lines in page order, and the status."""
+    line = F.concat(F.when(F.col("title") == "", F.lit("?")).otherwise(F.col("title")), F.lit(": "), F.col("reject_reason"))
     out = page_results(classified, params).groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("results"), F.count_if(F.col("kept_rank") <= params.results_per_search).alias("recorded"),
-        F.array_sort(F.collect_list(F.when(F.col("reject_rank") <= 10, F.struct("position", line.alias("line"))))).alias("_l"))
+        F.count(F.lit(1)).alias("results"), F.count_if(_recorded(params)).alias("recorded"),
+        F.array_sort(F.collect_list(F.when(F.col("reject_rank").isNotNull(), F.struct("position", line.alias("line"))))).alias("_l"))
     return out.select(
         "job_id", "results", "recorded", F.transform("_l", lambda s: s["line"]).alias("rejects"),
         F.when(F.col("recorded") > 0, "done").otherwise("empty").alias("status"))
@@ -123,7 +128,7 @@ def new_prices(batch: DataFrame, stored: DataFrame) -> DataFrame:
         *[c for c in batch.columns if c not in ("kind", "in_stock", "similarity", "title", "shipping")],
         F.coalesce("kind", F.lit("exact_new")).alias("kind"), F.coalesce("in_stock", F.lit(True)).alias("in_stock"),
         money.positive_or(F.col("similarity"), 1.0).alias("similarity"),
-        F.substring(F.coalesce("title", F.lit("")), 1, 512).alias("title"),
+        F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("shipping", F.lit(0.0)).alias("shipping"),
     )
     return _unseen(ready, stored, ["url", "query_key"])

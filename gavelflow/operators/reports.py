@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavelflow.functions import alerts, money
 from gavelflow.operators.books import latest_valuation
-from gavelflow.operators.splitting import top_per_group
+from gavelflow.operators.splitting import first_rows, top_per_group
 from gavelflow.params import Params
 
 
@@ -15,12 +15,14 @@ def _statuses(include_blocked: bool) -> list[str]:
     return ["pending", "blocked"] if include_blocked else ["pending"]
 
 
-def read_queue(queue: DataFrame, lots: DataFrame, as_of: Column, include_blocked: bool = False, limit: int = 50) -> DataFrame:
-    """Suggestions by rank. Lots past close are dropped before the limit is taken."""
+def read_queue(queue: DataFrame, lots: DataFrame, as_of: Column, include_blocked: bool = False, limit: int | None = None) -> DataFrame:
+    """Suggestions by rank, all or the first ``limit``. Lots past close are dropped before the limit
+    is taken."""
     live = queue.where(F.col("status").isin(_statuses(include_blocked)))
     rows = live.join(lots.select("lot_id", "title", "url", "current_bid", "retail_price", "condition_name", "close_at"), "lot_id")
     rows = rows.where(F.col("close_at").isNull() | (F.col("close_at") >= as_of))
-    return rows.orderBy(F.desc("rank_score"), "lot_id").limit(min(limit, 200))
+    ranked = rows.orderBy(F.desc("rank_score"), "lot_id")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def queue_items(queue: DataFrame, lots: DataFrame, valuations: DataFrame) -> DataFrame:
@@ -51,15 +53,14 @@ def feed(
 
 
 # --- digest ------------------------------------------------------------------------------------
-def digest_picks(valuations: DataFrame, as_of: Column, newest: bool = True, limit: int = 40) -> DataFrame:
-    """Recommended valuations of the last day, one per lot: the newest, or the most profitable."""
+def digest_picks(valuations: DataFrame, as_of: Column, newest: bool = True, limit: int | None = None) -> DataFrame:
+    """Recommended valuations of the last day, one per lot: the newest, or the most profitable. A
+    ``limit`` keeps the most profitable lots."""
     recent = valuations.where(
         F.col("recommended") & (F.col("computed_at") >= as_of - F.expr("INTERVAL 24 HOURS")))
     by_profit = [F.desc("projected_profit"), F.col("lot_id"), F.col("valuation_id")]
-    if newest:
-        return latest_valuation(recent).orderBy(F.desc("projected_profit"), "lot_id").limit(limit)
-    top = recent.orderBy(*by_profit).limit(limit)
-    return top_per_group(top, ["lot_id"], by_profit, 1)
+    one = latest_valuation(recent) if newest else top_per_group(recent, ["lot_id"], by_profit, 1)
+    return first_rows(one, by_profit, limit)
 
 
 def unsent(candidates: DataFrame, ledger: DataFrame, as_of: Column | None = None, within_hours: int | None = None) -> DataFrame:
@@ -109,21 +110,21 @@ def ledger_rows(sent: DataFrame, as_of: Column) -> DataFrame:
 
 
 # --- analytics ------------------------------------------------------------------------------------
-def closed_with_price(lots: DataFrame, limit: int = 400) -> DataFrame:
+def closed_with_price(lots: DataFrame, limit: int | None = None) -> DataFrame:
     closed = lots.where(F.col("is_closed") & F.col("final_price").isNotNull())
-    return closed.orderBy(F.desc("closed_at"), "lot_id").limit(limit)
+    return first_rows(closed, [F.desc("closed_at"), "lot_id"], limit)
 
 
-def close_price_by_category(lots: DataFrame, limit: int = 400, top: int = 12) -> DataFrame:
-    """Newest closes by category: count, median price, median share of retail."""
+def close_price_by_category(lots: DataFrame, limit: int | None = None, top: int | None = None) -> DataFrame:
+    """Closes, all or the newest, by category: count, median price, median share of retail."""
     ratio = F.when(F.col("retail_price") > 0, F.col("final_price") / F.col("retail_price"))
     grouped = closed_with_price(lots, limit).groupBy(
         F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("uncategorized")).alias("category")
     ).agg(F.count(F.lit(1)).alias("lots"), F.median("final_price").alias("median_price"), F.median(ratio).alias("pct_of_retail"))
-    return grouped.orderBy(F.desc("lots"), "category").limit(top)
+    return first_rows(grouped, [F.desc("lots"), "category"], top)
 
 
-def recent_closes(lots: DataFrame, n: int = 30) -> DataFrame:
+def recent_closes(lots: DataFrame, n: int | None = None) -> DataFrame:
     pct = F.col("final_price") / F.nullif(F.col("retail_price"), F.lit(0.0))
     return closed_with_price(lots, n).select("lot_id", "title", "retail_price", "final_price", pct.alias("pct"), "closed_at")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +18,21 @@ from pyspark.sql.window import Window as W
 
 from gavelflow.session import durable
 
-HEAVY_GROUPS = 256
-
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], floor: int) -> DataFrame | None:
-    """The largest groups with at least ``floor`` rows, or None when there is none.
+    """All groups with at least ``floor`` rows, or None when there is none.
 
-    One pass over the key columns with map-side combine. Never more than ``HEAVY_GROUPS`` rows, so
-    the result may be broadcast; a group outside it holds less than 1/``HEAVY_GROUPS`` of all rows.
+    One pass over the key columns with map-side combine. There are at most rows / ``floor`` of them;
+    they are written to the shared root, so that the joins that follow do not count again.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= floor)
-    found = counts.orderBy(F.desc("_rows"), *keys).limit(HEAVY_GROUPS).select(*keys)
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    found = durable(counts.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    return None if found.isEmpty() else found
+
+
+def same_keys(pairs: Sequence[tuple[str, str]]) -> Column:
+    """Equality of column pairs in which missing equals missing."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
 
 
 def split_heavy(
@@ -41,9 +45,14 @@ def split_heavy(
     heavy = None if floor is None else heavy_keys(df, keys, floor)
     if heavy is None:
         return fn(df, False)
-    few = F.broadcast(heavy)
-    light = fn(df.join(few, list(keys), "left_anti"), False)
-    return light.unionByName(fn(durable(df.join(few, list(keys), "left_semi")), True))
+    on = same_keys([(k, f"_h_{k}") for k in keys])
+    light = fn(df.join(heavy, on, "left_anti"), False)
+    return light.unionByName(fn(durable(df.join(heavy, on, "left_semi")), True))
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], n: int | None) -> DataFrame:
+    """The first ``n`` rows of the whole table, or all of it."""
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -97,11 +106,12 @@ def _positions_in_bins(df, keys, value, ties, weight, slices) -> DataFrame:
         F.coalesce(F.sum("_bw").over(up_to), F.lit(0)).alias("_bw0"),
         F.sum("_bn").over(whole).alias("group_n"), F.sum("_bw").over(whole).alias("cum_total"),
     )
-    offsets = cells.join(bins, [*keys, "_b"]).select(
-        *cell, (F.col("_n0") + F.col("_bn0")).alias("_n1"), (F.col("_w0") + F.col("_bw0")).alias("_w1"),
-        "group_n", "cum_total")
+    placed = bins.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_b"]], "_bn0", "_bw0", "group_n", "cum_total")
+    offsets = cells.join(placed, same_keys([(c, f"_k_{c}") for c in [*keys, "_b"]])).select(
+        *[F.col(c).alias(f"_k_{c}") for c in cell], (F.col("_n0") + F.col("_bn0")).alias("_n1"),
+        (F.col("_w0") + F.col("_bw0")).alias("_w1"), "group_n", "cum_total")
     inside = W.partitionBy(*cell).orderBy(*ties)
-    out = binned.join(offsets, cell).withColumn("pos", (F.row_number().over(inside) + F.col("_n1")).cast("long"))
+    out = binned.join(offsets, same_keys([(c, f"_k_{c}") for c in cell])).withColumn("pos", (F.row_number().over(inside) + F.col("_n1")).cast("long"))
     if weight:
         running = inside.rowsBetween(W.unboundedPreceding, 0)
         out = out.withColumn("cum", F.sum(w).over(running) + F.col("_w1"))
@@ -117,10 +127,11 @@ def previous_in_time(df: DataFrame, key: str, ts: str, tie: str, value: Column,
     value of the previous slice is carried over a window that has one row per slice."""
     work = df.withColumn("_slice", F.date_trunc(step, F.col(ts))).withColumn("_v", value)
     last = work.groupBy(key, "_slice").agg(F.max_by("_v", F.struct(ts, tie)).alias("_last"))
-    carried = last.select(key, "_slice", F.lag("_last").over(W.partitionBy(key).orderBy("_slice")).alias("_carry"))
+    carried = last.select(
+        F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.lag("_last").over(W.partitionBy(key).orderBy("_slice")).alias("_carry"))
     inside = W.partitionBy(key, "_slice").orderBy(ts, tie)
     ranked = work.withColumn("_lag", F.lag("_v").over(inside)).withColumn("_rn", F.row_number().over(inside))
-    joined = ranked.join(carried, [key, "_slice"])
+    joined = ranked.join(carried, same_keys([(key, "_k"), ("_slice", "_s")]))
     return joined.withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))).select(*df.columns, name)
 
 
@@ -129,9 +140,10 @@ def running_max_in_time(df: DataFrame, key: str, ts: str, tie: str, columns: Seq
     work = df.withColumn("_slice", F.date_trunc(step, F.col(ts)))
     tops = work.groupBy(key, "_slice").agg(*[F.max(c).alias(f"_t_{c}") for c in columns])
     before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select(key, "_slice", *[F.max(f"_t_{c}").over(before).alias(f"_p_{c}") for c in columns])
+    tops = tops.select(
+        F.col(key).alias("_k"), F.col("_slice").alias("_s"), *[F.max(f"_t_{c}").over(before).alias(f"_p_{c}") for c in columns])
     inside = W.partitionBy(key, "_slice").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
-    out = work.join(tops, [key, "_slice"])
+    out = work.join(tops, same_keys([(key, "_k"), ("_slice", "_s")]))
     for c in columns:
         out = out.withColumn(f"max_{c}", F.greatest(F.max(c).over(inside), F.col(f"_p_{c}")))
     return out.select(*df.columns, *[f"max_{c}" for c in columns])

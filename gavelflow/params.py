@@ -36,7 +36,7 @@ class Params:
     fresh_days: int = 21
     min_rating: float = 4.0
     min_reviews: int = 25
-    results_per_search: int = 12
+    results_per_search: int | None = None  # usable cards kept per page, all by default
     lookup_sites: tuple[str, ...] = ("amazon", "walmart", "facebook")
     lookup_enabled: bool = True
     searches_per_day: int = 120

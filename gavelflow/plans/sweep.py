@@ -54,7 +54,7 @@ def sweep_watches(
 
 
 def refresh_and_harvest(
-    lots: DataFrame, observations: DataFrame, comps: DataFrame, as_of: Column, params: Params = Params(), limit: int | None = 120,
+    lots: DataFrame, observations: DataFrame, comps: DataFrame, as_of: Column, params: Params = Params(), limit: int | None = None,
 ) -> Harvest:
     """Lots due for another read; state after the reads that came in; comps from every new close."""
     due = ol.due_for_refresh(lots, as_of, params, limit)

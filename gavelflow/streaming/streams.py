@@ -23,22 +23,48 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 # --- current lots -----------------------------------------------------------------------------------
-def state_version(path: str, batch_id: int) -> str:
-    return f"{path}/version={batch_id}"
+BUCKETS = 64
 
 
-def fold_batch(batch: DataFrame, batch_id: int, path: str, partitions: int | None = None) -> None:
-    """State after one batch, written beside the state before it. Running a batch again rewrites
-    the same version, so a failed try leaves nothing behind."""
+def _version(path: str, batch_id: int) -> str:
+    return f"{path}/data/version={batch_id}"
+
+
+def _pointers(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
+    """Which version holds each bucket after a batch; at most ``BUCKETS`` entries."""
+    if batch_id < 0:
+        return {}
+    return {r.bucket: r.holder for r in spark.read.parquet(f"{path}/pointers/version={batch_id}").collect()}
+
+
+def _buckets(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame | None:
+    if not held:
+        return None
+    return spark.read.parquet(*[f"{_version(path, v)}/bucket={b}" for b, v in sorted(held.items())])
+
+
+def fold_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """State after one batch. Lots are dealt into buckets by hash; only buckets that the batch touches
+    are read and written anew, the others stay where an earlier version put them. Running a batch
+    again rewrites the same version, so a failed try leaves nothing behind."""
     spark = batch.sparkSession
-    previous = None
-    if batch_id > 0:
-        previous = spark.read.parquet(state_version(path, batch_id - 1))
+    bucket = F.pmod(F.hash("lot_id"), F.lit(BUCKETS))
+    touched = {r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()}
+    before = _pointers(spark, path, batch_id - 1)
+    previous = _buckets(spark, path, {b: v for b, v in before.items() if b in touched})
     state = ol.fold_observations(batch, previous)
     if previous is None:
         state = state.withColumn("is_new", F.lit(True))
-    out = state.repartition(partitions, "lot_id") if partitions else state
-    out.write.mode("overwrite").parquet(state_version(path, batch_id))
+    state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_version(path, batch_id))
+    after = before | dict.fromkeys(touched, batch_id)
+    spark.createDataFrame(sorted(after.items()), "bucket int, holder long").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/pointers/version={batch_id}")
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The lots after the newest batch."""
+    newest = spark.read.parquet(f"{path}/pointers").agg(F.max("version")).first()[0]
+    return _buckets(spark, path, _pointers(spark, path, newest))
 
 
 def current_lots(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -60,16 +86,20 @@ class _Changes(StatefulProcessor):
         self.last = handle.getValueState("last", "current_bid double, bid_count int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["observed_at", "obs_id"], na_position="first")
+        now = batch[["current_bid", "bid_count"]].astype({"current_bid": "float64", "bid_count": "Int64"})
+        before = now.shift()
         seen = self.last.get()
-        batch = pd.concat(list(rows)).sort_values(["observed_at", "obs_id"])
-        kept = []
-        for r in batch.itertuples(index=False):
-            now = (float(r.current_bid), int(r.bid_count))
-            if seen is None or (float(seen[0]), int(seen[1])) != now:
-                kept.append((key[0], r.obs_id, r.observed_at, *now))
-            seen = now
-        self.last.update(seen)
-        yield pd.DataFrame(kept, columns=["lot_id", "obs_id", "observed_at", "current_bid", "bid_count"])
+        first = seen is None
+        if not first:
+            before.iloc[0] = [float("nan") if seen[0] is None else seen[0], pd.NA if seen[1] is None else seen[1]]
+        same = (before == now).fillna(False) | (before.isna() & now.isna())
+        changed = ~same.all(axis=1).to_numpy()
+        if first:
+            changed[0] = True
+        last = now.iloc[-1]
+        self.last.update(tuple(None if pd.isna(x) else kind(x) for x, kind in zip(last, (float, int), strict=True)))
+        yield batch[changed].assign(lot_id=key[0])[["lot_id", "obs_id", "observed_at", "current_bid", "bid_count"]]
 
     def close(self) -> None:
         pass
@@ -102,23 +132,24 @@ class _Closes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bid, timer, done = self.lot.get() or (0.0, 0, False)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["observed_at", "obs_id"]).itertuples(index=False):
+        if not done:
+            batch = pd.concat(list(rows)).sort_values(["observed_at", "obs_id"])
+            ended = batch["is_closed"].fillna(False).astype(bool).to_numpy()
+            done = bool(ended.any())
+            seen = batch.iloc[:ended.argmax() + 1] if done else batch
+            bid = max(bid, seen["current_bid"].max(skipna=True)) if seen["current_bid"].notna().any() else bid
+            due = seen["close_at"][~seen["is_closed"].fillna(False).astype(bool)].dropna()
             if done:
-                break
-            bid = max(bid, 0.0 if pd.isna(r.current_bid) else float(r.current_bid))
-            if r.is_closed:
-                final = bid if pd.isna(r.final_price) or r.final_price == 0 else float(r.final_price)
-                out.append((key[0], final, r.observed_at, False))
-                done = True
-            elif not pd.isna(r.close_at) and _millis(r.close_at) + self.grace_ms != timer:
+                price = seen["final_price"].iloc[-1]
+                out.append((key[0], bid if pd.isna(price) or price == 0 else float(price), seen["observed_at"].iloc[-1], False))
+            moved = 0 if done else _millis(due.iloc[-1]) + self.grace_ms if len(due) else timer
+            if moved != timer:
                 if timer:
                     self.handle.deleteTimer(timer)
-                timer = _millis(r.close_at) + self.grace_ms
-                self.handle.registerTimer(timer)
-        if done and timer:
-            self.handle.deleteTimer(timer)
-            timer = 0
-        self.lot.update((bid, timer, done))
+                if moved:
+                    self.handle.registerTimer(moved)
+                timer = moved
+        self.lot.update((float(bid), timer, done))
         yield _closed_frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from gavelflow.operators import lots as ol
 from gavelflow.operators import market, splitting, watch
 from gavelflow.params import Params
 from gavelflow.plans import valuation
-from gavelflow.schemas import CARD, COMMITMENT, COMP, LOT, OBSERVATION, PRICE
+from gavelflow.schemas import CARD, COMMITMENT, COMP, LOT, OBSERVATION, PRICE, WATCH
 from gavelflow.sources import demo
 
 T0 = dt.datetime(2026, 8, 9, 12, 0)
@@ -91,6 +91,19 @@ def test_weighted_median_without_weight_is_the_median(spark):
     assert oc.weighted_median(df, ["g"], "v", "w", ["id"]).first()["weighted_median"] == 30.0
 
 
+def test_heavy_groups_give_what_plain_ones_give(spark):
+    rows = [(g, i, v, 1.0 + i % 3) for g in (*range(300), None) for i, v in enumerate([None, -5.0, 0.0, 2.0, 2.0, 7.5][:4 + (g or 0) % 3])]
+    df = spark.createDataFrame(rows, "g int, id int, v double, w double")
+    plain = oc.weighted_median(df, ["g"], "v", "w", ["id"]).collect()
+    heavy = oc.weighted_median(df, ["g"], "v", "w", ["id"], Params(heavy_rows=1)).collect()  # 301 heavy groups
+    assert len(plain) == 301 and sorted(map(repr, plain)) == sorted(map(repr, heavy))
+
+
+def test_rows_without_a_time_are_kept(spark):
+    seen = [obs(1, 0, 10.0), {**obs(2, 5, 11.0), "observed_at": None}, obs(3, 9, 10.0)]
+    assert [r["obs_id"] for r in ol.change_only(rows_of(spark, OBSERVATION, seen)).orderBy("obs_id").collect()] == [1, 2]
+
+
 def test_theta_join_in_slices_gives_the_same_pairs(spark):
     left, small = spark.range(50).withColumnRenamed("id", "a"), spark.range(9).withColumnRenamed("id", "b")
     on = lambda: (F.col("a") % 7) > F.col("b")
@@ -149,8 +162,10 @@ def test_unrated_substitute_never_sets_the_ceiling(spark):
 
 def test_watch_reasons(spark):
     lot = {"lot_id": "1", "title": "Red bolt", "category": "Tools", "retail_price": 90.0, "current_bid": 10.0, "is_closed": False}
-    said = watch.explain_matches(rows_of(spark, LOT, [lot]), [
-        {"watch_id": 1, "keywords": "bolt, gear", "categories": "tool"}, {"watch_id": 2, "require_all": "blue", "exclude_terms": "red", "min_retail": 100.0}], NOW)
+    watches = rows_of(spark, WATCH, [
+        {"watch_id": 1, "keywords": "bolt, gear", "categories": "tool"}, {"watch_id": 2, "require_all": "blue", "exclude_terms": "red", "min_retail": 100.0}])
+    pairs = spark.createDataFrame([(1, "1"), (2, "1"), (2, "1"), (9, "1")], "watch_id long, lot_id string")
+    said = watch.explain_matches(rows_of(spark, LOT, [lot]), watches, pairs, NOW)
     got = {r["watch_id"]: r["reasons"] for r in said.collect()}
     assert got[1] == []
     assert got[2] == ["missing required term 'blue'", "excluded term 'red' present", "retail below $100"]
