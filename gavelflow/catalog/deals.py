@@ -490,9 +490,9 @@ def p1(g: Given) -> DataFrame:
 
 
 @query("j1_watch_lot_matches", f"""
-  select watch_id, lot_id from ({reasons_sql()}) r where enabled and reasons = '' and not exists (select 1 from v_links k where k.watch_id = r.watch_id and k.lot_id = r.lot_id)""")
+  select watch_id, lot_id from ({reasons_sql()}) r where enabled and reasons = '' and not exists (select 1 from v_earlier k where k.watch_id = r.watch_id and k.lot_id = r.lot_id)""")
 def j1(g: Given) -> DataFrame:
-    return watch.match_watches(g.lots, g.watches.where("enabled"), g.as_of, g.links).select("watch_id", "lot_id")
+    return watch.match_watches(g.lots, g.watches.where("enabled"), g.as_of, g.earlier).select("watch_id", "lot_id")
 
 
 @query("a12_watch_match_counts", "select w.watch_id, w.name, count(k.lot_id) as match_count from v_watches w left join v_links k using (watch_id) group by 1, 2")

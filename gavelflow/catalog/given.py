@@ -204,6 +204,9 @@ def views(d: Dialect) -> dict[str, str]:
     v["v_links"] = f"""
       select cast(l_suppkey % 6 + 1 as bigint) as watch_id, cast(l_partkey as string) as lot_id
       from {lineitem} group by 1, 2"""
+    v["v_earlier"] = f"""
+      select cast(l_suppkey % 6 + 1 as bigint) as watch_id, cast(l_partkey as string) as lot_id
+      from {lineitem} where l_shipdate < timestamp '1996-01-01' and l_quantity < 10 group by 1, 2"""
     v["v_decisions"] = f"""
       select cast(l_partkey as string) as lot_id,
         case l_linenumber % 5 when 0 then 'skip' when 1 then 'won' when 2 then 'lost' else 'confirm' end as action,
