@@ -16,8 +16,9 @@ files of the successful attempts and writes the manifest with the ids in front o
 executor only leaves an attempt that nobody names. Paths go through pyarrow's file systems.
 
 The writer takes ``doc_id`` and ``ids`` (little-endian unsigned 32-bit bytes) in the order of the
-partitions. The reader gives ``doc_id, start, n_tokens, ids``. This module needs no other of the
-package, since it also runs where Spark plans Python sources.
+partitions; with the options ``tokenizer`` and ``end_id`` it takes ``doc_id`` and ``text`` and encodes in
+the same pass. The reader gives ``doc_id, start, n_tokens, ids``. While it is planned, this module
+needs no other of the package, since Spark plans Python sources in a process of its own.
 """
 
 from __future__ import annotations
@@ -148,8 +149,23 @@ class Written(WriterCommitMessage):
 
 
 class Simple8bWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, tokenizer: str | None = None, end_id: int = 1) -> None:
+        self.path, self.tokenizer, self.end = path, tokenizer, end_id.to_bytes(4, "little")
+
+    def _documents(self, iterator):
+        """``(doc_id, ids)`` one by one."""
+        for batch in iterator:
+            columns = batch.to_pydict()
+            names = columns["doc_id"]
+            if self.tokenizer is None:
+                yield from zip(names, columns["ids"], strict=True)
+                continue
+            from gavelflow.llm.ids import batches, encoder
+
+            texts, encode = columns["text"], encoder(self.tokenizer).encode
+            for a, b in batches(texts):
+                for name, ids in zip(names[a:b], encode(texts[a:b]), strict=True):
+                    yield name, ids + self.end
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -173,14 +189,12 @@ class Simple8bWriter(DataSourceArrowWriter):
                     at, total_docs, total_ids = at + len(data), total_docs + len(doc_ids), total_ids + size
                     doc_ids, ids, size = [], [], 0
 
-            for batch in iterator:
-                columns = batch.to_pydict()
-                for d, x in zip(columns["doc_id"], columns["ids"], strict=True):
-                    doc_ids.append(d)
-                    ids.append(x)
-                    size += len(x) // 4
-                    if size >= SEGMENT_IDS:
-                        flush()
+            for d, x in self._documents(iterator):
+                doc_ids.append(d)
+                ids.append(x)
+                size += len(x) // 4
+                if size >= SEGMENT_IDS:
+                    flush()
             flush()
             foot = json.dumps({"segments": segments, "documents": total_docs, "ids": total_ids}).encode()
             out.write(foot + len(foot).to_bytes(8, "little") + MAGIC)
@@ -255,4 +269,4 @@ class Simple8b(DataSource):
         return Simple8bReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return Simple8bWriter(self.options["path"])
+        return Simple8bWriter(self.options["path"], self.options.get("tokenizer"), int(self.options.get("end_id", 1)))

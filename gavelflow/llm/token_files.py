@@ -1,7 +1,7 @@
 """Whole texts as token ids in Simple-8b files, in ascending order of document.
 
 Defined cases: a missing text is empty and gives the end id alone; documents that share an id follow
-each other by text; documents without an id come first and stay without; an empty table gives a
+each other by text hash; documents without an id come first and stay without; an empty table gives a
 folder without shards that reads back as no rows; columns other than id and text are not read.
 """
 
@@ -15,32 +15,20 @@ from pyspark.sql import functions as F
 
 from gavelflow.llm import simple8b
 from gavelflow.llm.common import whole
-from gavelflow.llm.ids import batches, encoder
 from gavelflow.session import shared_dir
 
 cloudpickle.register_pickle_by_value(simple8b)  # Spark plans the source in a process of its own
 
 
-def _encode(path: str, end_id: int):
-    def run(frames):
-        import pandas as pd
-
-        end, encode = end_id.to_bytes(4, "little"), encoder(path).encode
-        for pdf in frames:
-            texts, names = pdf["_text"].tolist(), pdf["doc_id"]
-            for a, b in batches(texts):
-                yield pd.DataFrame({"doc_id": names.iloc[a:b].astype("Int64").array, "ids": [x + end for x in encode(texts[a:b])]})
-
-    return run
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
     """Writes ``doc_id`` and ids of every row to ``path``, a new folder."""
     spark = docs.sparkSession
     spark.dataSource.register(simple8b.Simple8b)
-    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("_text"))
-    placed = rows.repartitionByRange("doc_id", "_text").sortWithinPartitions("doc_id", "_text")
-    placed.mapInPandas(_encode(tokenizer, end_id), "doc_id long, ids binary").write.format("simple8b").mode("append").save(path)
+    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
+    # ranges of small keys: their sample goes to the driver
+    order = ["doc_id", F.xxhash64("text")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.write.format("simple8b").option("tokenizer", tokenizer).option("end_id", end_id).mode("append").save(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

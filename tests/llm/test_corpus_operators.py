@@ -240,7 +240,8 @@ def test_token_files_hold_every_document_in_order(spark, tmp_path):
     got = token_files.through_files(docs(spark, rows), WORDS).collect()
     got.sort(key=lambda r: r.start)
     start = 0
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1] or ""]))
     for r, (d, t) in zip(got, order, strict=True):
         made = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens) == (d, start, len(made))
