@@ -24,9 +24,13 @@ _PIECE = re.compile(rf"{_GAP}*[^ \t\n\x0b\x0c\r]+|{_GAP}+")
 _LONGEST_PIECE = 64
 
 
-def _pieces(text: str) -> list[str] | None:
+#: The same without white space, for a tokenizer that drops it.
+_SOLID = re.compile(rf"'?[{_LETTER}]+|[0-9]+|[^ \t\n\x0b\x0c\r0-9{_LETTER}]+")
+
+
+def _pieces(text: str, folds: bool) -> list[str] | None:
     if not _OTHER.search(text):
-        return _FINE.findall(text)
+        return _SOLID.findall(text.lower()) if folds else _FINE.findall(text)
     return None if _ODD_SPACE.search(text) else _PIECE.findall(text)
 
 
@@ -52,6 +56,8 @@ class IdEncoder:
         self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        # whether case and white space leave no trace in the ids
+        self._folds = len(set(self._encoded(["A b É", "a  B\té", " a\n\nb É "]))) == 1
         self._known: dict[str, bytes] = {}
         self._remember = remember
 
@@ -61,7 +67,7 @@ class IdEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text. Callers bound the size of a batch; see ``batches``."""
-        pieces = [_pieces(t) for t in texts]
+        pieces = [_pieces(t, self._folds) for t in texts]
         known = self._known
         found = [None if ps is None else list(map(known.get, ps)) for ps in pieces]
         missing = {p for ps, vs in zip(pieces, found, strict=True) if vs is not None and None in vs for p, v in zip(ps, vs, strict=True) if v is None}

@@ -52,14 +52,17 @@ def encode_blocks(ids):
     grid[:, :BLOCK] = body.reshape(n, BLOCK)
 
     best = np.full((n, BLOCK), len(SELECTORS) - 1, dtype=np.int8)
+    live, small = np.arange(n), grid.astype(np.uint32)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        over = np.zeros((n, grid.shape[1] + 1), dtype=np.uint16)
-        np.cumsum(grid >> np.uint64(bits) != 0, axis=1, out=over[:, 1:])
+        over = np.zeros((len(live), grid.shape[1] + 1), dtype=np.uint16)
+        np.cumsum(small >= (1 << bits), axis=1, out=over[:, 1:])
         fits = over[:, count:count + BLOCK] == over[:, :BLOCK]
-        if not fits.any():
-            break  # narrower selectors hold more ids and fit nowhere either
-        best[fits] = s
+        some = fits.any(axis=1)  # narrower selectors hold more ids: they fit nowhere where this one does not
+        live, small, fits = live[some], small[some], fits[some]
+        if not len(live):
+            break
+        best[live] = np.where(fits, np.int8(s), best[live])
 
     counts = np.array([c for c, _ in SELECTORS])
     at, rows = np.zeros(n, dtype=np.int64), np.arange(n)
