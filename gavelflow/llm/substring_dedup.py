@@ -17,6 +17,9 @@ Factors are thus at least ``WINDOW`` words long and may join passages copied fro
 Parsing every document against every block, as the plain method does, costs documents times blocks,
 which no cluster finishes; the lookup by hash meets the same phrases in every block in one shuffle.
 
+A document whose whole text stands under an earlier id is a copy: all its windows are found there, so
+it is cut whole and its phrases stay out of the index.
+
 A phrase is named by 96 bits of hash. Defined cases: a missing text has no words; rows that repeat
 id and text are one document; among different texts of one id, the smaller text hash is the earlier;
 a missing id is before all others; an empty table gives an empty result; other columns are not read.
@@ -164,10 +167,12 @@ def _cut(frames):
     phrases = Phrases()
     for pdf in frames:
         rows = []
-        for name, tag, key, text, settled, original in zip(
-                pdf["_gf_id"].tolist(), pdf["_tag"].tolist(), pdf["_gf_hash"].tolist(), pdf["_text"].tolist(), pdf["_settled"].tolist(), pdf["_original"].tolist(), strict=True):
+        for name, key, text, first, settled, original in zip(
+                pdf["_gf_id"].tolist(), pdf["_gf_hash"].tolist(), pdf["_text"].tolist(), pdf["_first"].tolist(), pdf["_settled"].tolist(), pdf["_original"].tolist(), strict=True):
             words, factors = split(text), []
-            if len(words) >= WINDOW:
+            if len(words) >= WINDOW and first is not True:
+                factors = [(0, len(words))]
+            elif len(words) >= WINDOW:
                 starts, _ = _open_windows(phrases, words, _places(settled))
                 factors = parse(len(words), starts[~np.isin(starts, _places(original))])
             keep = np.ones(len(words), dtype=bool)
@@ -181,8 +186,10 @@ def _cut(frames):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: key, ``n_words``, ``n_removed``, ``kept`` text and ``factors`` (start and length in
     words)."""
-    # 35 bits of text hash over 28 bits of position: places of one id in order, in one number
-    tag = F.shiftleft(F.col("_gf_hash").bitwiseAND(F.lit((1 << 35) - 1)), 28)
+    # 35 bits of text hash over 28 bits of position: places of one id in order, in one number; where no
+    # id repeats, the hash says nothing and only makes the shuffles larger
+    unique = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    tag = F.shiftleft(F.col("_gf_hash").bitwiseAND(F.lit(0 if unique else (1 << 35) - 1)), 28)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     rows = rows.select(*doc_key(), F.col("text").alias("_text")).withColumn("_tag", tag)
 
@@ -195,11 +202,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         on = left["_gf_id"].eqNullSafe(own["_of"]) & (F.shiftright(left["_tag"], 28) == own["_owner"])
         return left.join(own, on, "left").drop("_of", "_owner")
 
-    grams = rows.select("_gf_id", "_tag", "_text").mapInPandas(_anchor_rows, "a long, _gf_id long, at long")
+    # the first of all rows with one text; as a list of firsts, so that no text is a join key
+    texts = rows.groupBy("_gf_hash", F.hash("_text").alias("_h2"), F.length("_text").alias("_n")).agg(
+        F.min(F.struct("_gf_id", "_tag")).alias("f")).select("f.*")
+    firsts = texts.select(F.col("_gf_id").alias("_of"), F.shiftright("_tag", 28).alias("_owner"), F.lit(True).alias("_first"))
+    on = rows["_gf_id"].eqNullSafe(firsts["_of"]) & (F.shiftright(rows["_tag"], 28) == firsts["_owner"])
+    rows = rows.join(firsts, on, "left").drop("_of", "_owner")
+
+    grams = rows.where("_first").mapInPandas(_anchor_rows, "a long, _gf_id long, at long")
     alone = grams.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("_gf_id").alias("_gf_id"), F.min("at").alias("at"))
     known = with_places(rows, alone.where("n = 1"), "_settled")
-    windows = known.select("_gf_id", "_tag", "_text", "_settled").mapInPandas(_window_rows, "h1 long, h2 int, _gf_id long, at long")
+    # all columns, so that this and the last step read one exchange of the texts
+    windows = known.where("_first").mapInPandas(_window_rows, "h1 long, h2 int, _gf_id long, at long")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("_gf_id", "at")).alias("f")).select("f.*")
     judged = with_places(known, first, "_original")
     kind = f"{DOC_KEY[0]} long, {DOC_KEY[1]} long, n_words long, n_removed long, kept string, factors array<struct<start:long,length:long>>"
-    return judged.select("_gf_id", "_tag", "_gf_hash", "_text", "_settled", "_original").mapInPandas(_cut, kind)
+    return judged.select("_gf_id", "_gf_hash", "_text", "_first", "_settled", "_original").mapInPandas(_cut, kind)
