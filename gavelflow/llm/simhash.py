@@ -193,6 +193,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = simhash_components(docs)
     first = found.where(F.col(DOC_KEY[0]).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
         F.min(F.struct(*DOC_KEY)).alias("_k")).select("_k.*")
+    return keep_rows(docs, first)
+
+
+def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each document key of ``first``."""
     rows = packed_rows(docs)
     kept = rows.join(first, same_doc(rows, first), "left_semi")
     # exact repeats of the kept row share its key

@@ -327,3 +327,68 @@ def test_notices_in_documents(spark):
     assert license_scan.license_notices(docs(spark, [])).count() == 0
 
 
+
+
+# --- near copies by word runs ----------------------------------------------------------------------
+def plain_runs(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def test_near_copies_equal_all_pairs(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: rng.choice("bcdfgklmn") + rng.choice("aeiou") + rng.choice("rstz") + rng.choice("aeiou")
+    texts = [None, "", " \x0b", "One", "one", "two WORDS", "Ä b c", "ä b c"]
+    for n in [5, 6, 9, 14, 20, 40, 90, 300]:
+        base = [word() for _ in range(n)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(1 + max(1, n // 25))):
+                w[rng.randrange(len(w))] = word()
+            cut = rng.randrange(1 + n // 6)
+            texts.append(" ".join(w[cut:] if rng.random() < 0.5 else w + [word() for _ in range(cut)]))
+    rows = [(i if i % 9 else i + 10_000, t) for i, t in enumerate(texts)]
+    sets = [plain_runs(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    wide = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 9 * shared >= 4 * (len(sets[i]) + len(sets[j])):
+                wide += (plain_fingerprint(rows[i][1]) ^ plain_fingerprint(rows[j][1])).bit_count() > 4
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    assert wide > 50 and 20 < len(least) < len(rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(least.values())
+
+
+def test_a_bucket_is_agreed_on_by_every_close_pair():
+    from gavelflow.llm.near_copies import bucket_marks
+
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 60), 100, 333, 1000, 4000]:
+        for grow in (0, n // 4):
+            common = rng.integers(0, 2**64, n, dtype=np.uint64)
+            most = (n + grow) - math.ceil(0.8 * (n + grow) - 1e-9)
+            a, b = np.unique(common), common
+            if grow:  # one holds the other
+                b = np.r_[b, rng.integers(0, 2**64, grow, dtype=np.uint64)]
+            else:  # both sides changed, as far as 0.8 allows
+                k = most // 2
+                b = np.r_[b[k:], rng.integers(0, 2**64, k, dtype=np.uint64)]
+            b = np.unique(b)
+            shared = len(np.intersect1d(a, b))
+            if 9 * shared >= 4 * (len(a) + len(b)):
+                assert np.intersect1d(bucket_marks(a), bucket_marks(b)).size, (n, grow)
