@@ -187,3 +187,17 @@ def test_demo_verdicts(spark):
     assert fridge["walk_away_max_bid"] == 0 and fridge["reason"].startswith("Fatal")
     assert not by_bid["Assorted", 7.0]["recommended"] and not by_bid["Unbranded", 2.0]["recommended"]
     assert all(r["landed_at_max"] <= r["net_resale"] for r in got.values())
+
+
+def test_words_of_a_long_title_decide_its_class(spark):
+    from gavelflow.operators import wants
+
+    long = "bulk lot of mixed goods " * 30 + "AA batteries"
+    rows = [(long, None, "x1", "amazon_cart", dt.datetime(2026, 1, 1), None, None, 1)]
+    signals = spark.createDataFrame(rows, "title string, brand string, external_id string, source string, occurred_at timestamp, category string, price_paid double, quantity int")
+    want = wants.create_wants(wants.clean_signals(signals)).first()
+    assert len(long) > 512 and want.label == want.keywords == long
+    from gavelflow.functions import wants as fw
+
+    classes = signals.select(fw.infer_class(F.col("title"), "category", F.col("price_paid")), fw.infer_class(F.substring("title", 1, 512), "category", F.col("price_paid"))).first()
+    assert classes[0] != classes[1] and want.replenishment == classes[0]
