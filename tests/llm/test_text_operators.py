@@ -91,6 +91,18 @@ def test_common_lines_go_everywhere_but_once(spark):
     assert strip_boilerplate(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_short_lines_of_many_sites_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"Log in\nown words of page {i}\nShare\n\n", "en", f"s{i}", 0) for i in range(9)]
+    rows += [(20 + i, "Read more\nother words here", "en", f"s{i}", 0) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == f"own words of page {i}\n\n" and got[i].n_chars == len(got[i].text) for i in range(1, 9))
+    assert all(got[20 + i].text.startswith("Read more\n") for i in range(7))
+
+
 STATED = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
