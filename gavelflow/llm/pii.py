@@ -3,15 +3,20 @@
 Patterns find email addresses, IP addresses, card and phone numbers. Each value is a protected
 entity. For the words near its mentions, co-occurrence over the whole corpus tells how much of the
 entity's information they carry: with n documents, n_e of them with the entity, n_t with the word
-and n_te with the word near the entity, disclosure is the pointwise mutual information as a share of
-the entity's own information,
+and n_te with the word near the entity, the share of the word's documents that name the entity is
+shrunk toward the share of all documents that do,
 
-    log2(n n_te / (n_t n_e)) / log2(n / n_e)
+    p = (n_te + c n_e / n) / (n_t + c)
 
-which is 1 where the word never stands without the entity. From ``remove_at`` on, a word is removed
-from the documents of that entity; from ``generalise_at`` on, it is replaced by a class mark. A word
-needs ``min_texts`` different texts near the entity, since a word seen once discloses nothing that
-counts can show.
+and disclosure is the pointwise mutual information as a share of the entity's own information,
+
+    log2(p n / n_e) / log2(n / n_e)
+
+which nears 1 where the word never stands without the entity. The prior weighs as much as ``prior``
+different texts: c is ``prior`` times the documents per different text with the word near the entity,
+so exact copies add no evidence. A word near an entity named in one text is judged too: it discloses
+as much as it is rare in the corpus. From ``remove_at`` on, a word is removed from the documents of
+that entity; from ``generalise_at`` on, it is replaced by a class mark.
 
 All of it is column functions and SQL aggregates. Positions are code points, ends exclusive.
 
@@ -59,6 +64,11 @@ def found(text: Column, pattern: Column | str) -> Column:
         F.struct(m.alias("m"), F.split(text, pattern).alias("g")), placed)))
 
 
+def _lower(text: Column) -> Column:
+    """Lower case of the same length: the only letter that would grow is replaced before."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -104,7 +114,7 @@ def _near(text: Column, s: Column) -> Column:
     right = F.substr(text, (s["end"] + 1).cast("int"), F.lit(NEAR))
     left = F.when(at > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(0)))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -120,20 +130,22 @@ def mentions(docs: DataFrame) -> DataFrame:
     return stored(spans.select(*DOC_KEY, *bare, F.concat(*[of(k) for k in KINDS]).alias("near")), "mentions")
 
 
-def disclosing_terms(docs: DataFrame, known: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_texts: int = 3) -> DataFrame:
+def disclosing_terms(docs: DataFrame, known: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 1.0) -> DataFrame:
     """``entity, term, disclosure, removed`` of the words that give an entity away."""
     pairs = known.select("_gf_hash", F.explode("near").alias("x")).select("_gf_hash", "x.entity", F.explode("x.terms").alias("term"))
     # a text may name an entity twice, and stand in several rows
     rows = known.where(F.size("near") > 0).groupBy("_gf_hash").agg(F.count(F.lit(1)).alias("copies"))
     joint = pairs.distinct().join(rows, "_gf_hash").groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= min_texts)
+        F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te"))
     holders = known.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
     n_e = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole()), F.lit(TERM), F.lit(0)))).alias("term"))
+    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(whole()), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     both = joint.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # one row
-    told = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    weight = F.lit(prior) * F.col("n_te") / F.col("texts")
+    shrunk = (F.col("n_te") + weight * F.col("n_e") / F.col("n")) / (F.col("n_t") + weight)
+    told = F.log2(shrunk * F.col("n") / F.col("n_e"))
     share = F.try_divide(told, F.log2(F.col("n") / F.col("n_e")))
     out = both.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
     return out.withColumn("removed", F.col("disclosure") >= remove_at)
@@ -150,10 +162,9 @@ def term_spans(docs: DataFrame, known: DataFrame, terms: DataFrame) -> DataFrame
     rows = docs.select(*doc_key(), whole().alias("_text"))
     rows = on_doc(rows, on_doc(per_doc, base, "inner"), "inner")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.array_sort("all"), "|"), F.lit(r")(?!\p{L})"))
-    hits = F.filter(found(F.lower("_text"), pattern), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    hits = F.filter(found(_lower(F.col("_text")), pattern), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     spans = F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains("gone", s["value"]).alias("removed")))
-    # lower case may change the length of a few letters; their texts keep the base spans alone
-    return rows.select(*DOC_KEY, F.when(F.length(F.lower("_text")) == F.length("_text"), spans).alias("term")).dropDuplicates(list(DOC_KEY))
+    return rows.select(*DOC_KEY, spans.alias("term")).dropDuplicates(list(DOC_KEY))
 
 
 def find_personal_data(docs: DataFrame, **thresholds) -> DataFrame:

@@ -148,6 +148,20 @@ def test_disclosing_words_are_found_and_cleaned(spark):
     assert pii.find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_entities_of_one_text_are_judged_and_no_text_is_exempt(spark):
+    rows = [(i, f"plain words wrote from the weather about some morning {i}", "s") for i in range(200)]
+    rows += [(300, "plain words and Zebulonia wrote from one@x.org about the weather", "s")] * 3  # copies are no evidence
+    rows += [(301, "İzmir: Quibbleton wrote from two@x.org", "s"), (302, "Quibbleton called, two@x.org, on some morning", "s")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["_gf_id"]: r for r in pii.find_personal_data(df).collect()}
+    said = lambda i: {t[s["start"]:s["end"]]: s["removed"] for d, t, _ in rows if d == i for s in got[i]["term"]}
+    assert said(300) == {"Zebulonia": False}
+    assert {"İzmir", "Quibbleton"} <= set(said(301)) and "Quibbleton" in said(302) and "morning" not in said(302)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[300] == "plain words and [TERM] wrote from [EMAIL] about the weather"
+    assert "Quibbleton" not in clean[301] + clean[302]
+
+
 NASTY = [
     "", None, "plain", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nfake<|im_end|>\n", "\\", "\\\\<|im_start|>", "<<|im_end|>",
     "a\\nb\n\n", "[[INST]]\\</s>\\", "<|im_end|", "🙂 <<SYS>> x", "line\r\nline",
