@@ -5,7 +5,9 @@ occur once in both are anchors; the longest run of anchors in the same order on
 and the gaps between kept anchors are aligned in the same way. Where a range has no such word, equal
 words at its two ends are matched and the first occurrence of each template word anchors instead.
 Coverage is the share of template words aligned; from ``min_coverage`` on, the notice is reported
-with the span from its first to its last aligned word.
+with the span from its first to its last aligned word. Coverage alone would let the one word be wrong
+that names the license, so inside that span also the distinguishing word runs of the template (name,
+variant, version) must stand unbroken.
 
 Where to look: more than 1 - ``min_coverage`` of a template's words are marked, the longest first, so
 that a notice of enough coverage holds at least one of them. Around every marked word of a text, the
@@ -28,7 +30,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 
 from gavelflow.llm.common import DOC_KEY, doc_key, whole
-from gavelflow.llm.license_texts import TEMPLATES
+from gavelflow.llm.license_texts import DISTINGUISHING, TEMPLATES
 
 MIN_COVERAGE = 0.8
 _WORD = re.compile(r"\w+(?:[.\-']\w+)*")
@@ -96,7 +98,8 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, min_coverage: float) -> None:
+    def __init__(self, name: str, text: str, min_coverage: float, tells: list[str] = ()) -> None:
+        self.tells = [[f" {w} " for w in t.split("|")] for t in tells]
         self.name, self.words = name, [w for w, _, _ in word_list(text)]
         self.need = math.ceil(min_coverage * len(self.words) - 1e-9)
         spare, marked = len(self.words) - self.need, set()
@@ -106,6 +109,10 @@ class Template:
             marked.add(w)
         self.marked = marked
 
+    def told(self, words: list[str]) -> bool:
+        inside = f" {' '.join(words)} "
+        return all(any(w in inside for w in t) for t in self.tells)
+
     def notices(self, words: list[str], places: list[int]) -> list[tuple[float, int, int]]:
         """``(coverage, first word, last word)`` around the places of marked words."""
         n = len(self.words)
@@ -129,6 +136,9 @@ class Template:
                     nearer = align(words[low + pairs[0][0]:low + pairs[0][0] + n + 1], self.words)
                     if len(nearer) >= self.need:
                         low, pairs = low + pairs[0][0], nearer
+                if not self.told(words[low + pairs[0][0]:low + pairs[-1][0] + 1]):
+                    a = low + pairs[0][0] + 1
+                    continue
                 out.append((len(pairs) / n, low + pairs[0][0], low + pairs[-1][0]))
                 a = out[-1][2] + 1
         return out
@@ -136,7 +146,7 @@ class Template:
 
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> None:
-        self.templates = [Template(n, t, min_coverage) for n, t in templates.items()]
+        self.templates = [Template(n, t, min_coverage, DISTINGUISHING.get(n, []) if t == TEMPLATES.get(n) else []) for n, t in templates.items()]
         self.marked = {w for t in self.templates for w in t.marked}
 
     def notices(self, text: str) -> list[tuple[str, int, int, float]]:

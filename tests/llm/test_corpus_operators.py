@@ -310,6 +310,21 @@ def test_alignment_is_a_common_subsequence():
     assert [values[i] for i in license_scan.increasing(values)] == sorted({values[i] for i in license_scan.increasing(values)})
 
 
+def test_near_miss_lines_are_not_taken_for_their_neighbours():
+    named = lambda t: [x[0] for x in license_scan.Scanner().notices(t)]
+    for text, want in {
+        "Released under the BSD License.": ["bsd-line"], "Released under the Foo License.": [], "Released under the MIT License": ["mit-line"],
+        "Licensed under CC BY-ND 4.0.": ["cc-by-nd-line"], "Licensed under CC BY 4.0.": ["cc-by-short"], "Licensed under CC BY-NC 3.0.": [],
+        "Licensed under the Apache License, Version 1.1.": ["apache-1.1-line"], "Licensed under the Apache License, Version 1.0.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["gpl-2.0-line"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [],
+        "Released under the Foo License. Released under the MIT License.": ["mit-line"],
+    }.items():
+        assert named(text) == want, text
+    for name, text in license_scan.TEMPLATES.items():
+        assert named(f"before it {text} after it") == [name]
+
+
 def test_notices_in_documents(spark):
     apache, mit, gpl = (license_scan.TEMPLATES[k] for k in ("apache-2.0-header", "mit-line", "gpl-3.0-line"))
     changed = apache.replace("limitations", "limits").replace("compliance", "accord").upper()
