@@ -59,4 +59,17 @@ marked as (
 select doc_id, count(*)::bigint as n_lines, sum(cut::bigint)::bigint as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not cut), '')) as kept_sha256
 from marked group by doc_id""",
+    "op13_lexical_search": r"""
+with folded as (select row_number() over () as row_id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+  words as (select row_id, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from folded),
+  held as (select row_id, doc_id, term, count(*)::bigint as tf from words group by all),
+  docs as (select row_id, sum(tf)::bigint as n from held group by 1),
+  corpus as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from docs),
+  terms as (select term, floor(1000 * ln((2.0::double * big_n + 2) / (2.0::double * count(*) + 1)))::bigint as w from held, corpus group by term, big_n),
+  asked as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+  scored as (select item_id, row_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::bigint as score
+    from asked join terms using (term) join held using (term) join docs using (row_id), corpus group by all)
+select item_id, rank::int as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 50""",
 }

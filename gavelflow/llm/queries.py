@@ -135,6 +135,35 @@ def op10_simhash(spark, sf_dir):
         F.col("_gf_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    """Every usable embedding on the four axes of most variance, whitened."""
+    from gavelflow.llm.whitening import whiten
+
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select("_gf_id", "n", "deviation", "identity_error", F.inline("axes")).select(
+        F.col("_gf_id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened",
+        "explained", "identity_error")
+
+
+@query
+def op12_lm_scores(spark, sf_dir):
+    """Log probability of every text by unigram counts and by the log-bilinear model."""
+    from gavelflow.llm.lm_score import score_texts
+
+    out = score_texts(documents(spark, sf_dir))
+    return out.select(
+        F.col("_gf_id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    from gavelflow.llm.lexical_search import ranked
+
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("item_id", "rank", "doc_id", "score")
+
+
 @query
 def pipeline(spark, sf_dir):
     """The stages of ``corpus_pipeline.py`` over all documents."""
