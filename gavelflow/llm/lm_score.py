@@ -43,7 +43,7 @@ HEAD = 1 << 16
 LONGEST = 64
 WORDS = 1000
 SIZE = 32
-NOISE = 25
+NOISE = 256
 ROUNDS = 3
 SMOOTH = 0.1
 
@@ -218,11 +218,11 @@ class Model:
     HEAVIEST = 32
     RATE = 0.1
 
-    def __init__(self, vocabulary: Vocabulary, size: int, flat=None) -> None:
+    def __init__(self, vocabulary: Vocabulary, size: int, flat=None, rate: float = RATE) -> None:
         import numpy as np
 
         k = vocabulary.symbols
-        self.k, self.size = k, size
+        self.k, self.size, self.rate = k, size, rate
         cuts = np.cumsum([(k + 1) * size, k * size, k, 2 * size])
         if flat is None:
             rng = np.random.default_rng(11)
@@ -287,7 +287,7 @@ class Model:
         step = np.add.reduceat(step[order], first, axis=0)
         rows = rows[first]
         rate[rows] += step * step
-        table[rows] += self.RATE * step / np.sqrt(rate[rows])
+        table[rows] += self.rate * step / np.sqrt(rate[rows])
 
     def log10(self, code):
         """Log probability of each symbol after its context, normalised over all symbols."""
@@ -322,7 +322,7 @@ def train_model(runs: DataFrame, v: Vocabulary, vocabulary: Shared, size: int =
             from pyspark import TaskContext
 
             known = vocabulary.value()
-            model = Model(known, size, shared.value.copy())
+            model = Model(known, size, shared.value.copy(), Model.RATE / (1 + r))
             rng = np.random.default_rng([r, TaskContext.get().partitionId()])
             each = ((b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches)
             weight = model.train(each, known.noise, rng, samples)
