@@ -200,5 +200,11 @@ def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
     """One row of ``docs`` for each document key of ``first``."""
     rows = packed_rows(docs)
     kept = rows.join(first, same_doc(rows, first), "left_semi")
-    # exact repeats of the kept row share its key
-    return kept.groupBy(*DOC_KEY).agg(F.min_by("_gf_row", F.to_json("_gf_row")).alias("_gf_row")).select("_gf_row.*")
+    # exact repeats of a kept row share its key; only they are put in order
+    repeated = stored(docs.groupBy(*doc_key()).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*DOC_KEY), "repeated")
+    if repeated.isEmpty():
+        return kept.select("_gf_row.*")
+    once = kept.join(repeated, same_doc(kept, repeated), "left_anti").select("_gf_row.*")
+    many = kept.join(repeated, same_doc(kept, repeated), "left_semi")
+    least = many.groupBy(*DOC_KEY).agg(F.min_by("_gf_row", F.to_json("_gf_row")).alias("_gf_row")).select("_gf_row.*")
+    return once.unionByName(least)
