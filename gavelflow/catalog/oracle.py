@@ -11,6 +11,8 @@ from gavelflow.params import Params
 P = Params()
 # the given sales span seven years, so most queries look back further than the default
 LONG = Params(max_age_days=2600, half_life_days=975.0, fresh_days=2600)
+# what a lookup with a limit is tested with
+NEWEST = 40
 AS_OF = f"timestamp '{LOTS_AS_OF}'"
 
 
@@ -190,6 +192,41 @@ def confidence(value: str, n: str, spread: str, age: str, sources: str) -> dict[
     return {"score": score, "level": level, "bump": bump, "sold": sold}
 
 
+def lookup_views(x: str, n: int | None) -> dict[str, str]:
+    """Views ``<x>_house_rows`` and ``<x>_stored_rows`` of the lookup, with the newest ``n`` comps or all."""
+    cols = "comp_id, source, query_key, title, price, shipping, condition, is_sold, coalesce(sold_at, observed_at) as sold_at, observed_at, url"
+
+    def newest(keys: str, order: str, rows: int | None) -> str:
+        return "" if rows is None else f"qualify row_number() over (partition by {keys} order by {order}, comp_id) <= {rows}"
+
+    sold, seen, brand = "sold_at desc nulls last", "observed_at desc", "string_split(query_key, ':')[2]"
+    v = {}
+    v[f"{x}_by_key"] = f"select * from o_house {newest('query_key', sold, n)}"
+    v[f"{x}_by_family"] = f"""
+      select f.family, c.* from (select distinct family from o_asked) f
+      join (select distinct query_key as k from o_house) on starts_with(k, f.family) join o_house c on c.query_key = k
+      {newest('f.family', sold, n)}"""
+    v[f"{x}_by_brand"] = f"""
+      select {brand} as brand_key, c.* from o_house c where starts_with(query_key, 'bm:') {newest(brand, sold, n and 3 * n)}"""
+    v[f"{x}_tiers"] = f"""
+      select item_key, family, brand_key,
+        case when case when n1 < 5 and family <> item_key then n2 else n1 end < 3 and brand_key is not null then 3
+          when n1 < 5 and family <> item_key then 2 else 1 end as tier
+      from (select a.*, (select count(*) from {x}_by_key k where k.query_key = a.item_key) as n1,
+        (select count(*) from {x}_by_family f where f.family = a.family) as n2 from o_asked a)"""
+    v[f"{x}_house_rows"] = f"""
+      select item_key, tier, {cols} from {x}_tiers join {x}_by_key c on c.query_key = item_key where tier = 1
+      union all select t.item_key, tier, {cols} from {x}_tiers t join {x}_by_family c on c.family = t.family where tier = 2
+      union all select t.item_key, tier, {cols} from {x}_tiers t join {x}_by_brand c on c.brand_key = t.brand_key where tier = 3"""
+    v[f"{x}_stored"] = f"""
+      select f.family, c.* from (select distinct family from o_asked) f
+      join (select distinct query_key as k from v_comps where source <> 'house') on starts_with(k, f.family)
+      join v_comps c on c.query_key = k and c.source <> 'house'
+      {newest('f.family', seen, n)}"""
+    v[f"{x}_stored_rows"] = f"select item_key, 0 as tier, {cols} from o_asked a join {x}_stored c on c.family = a.family"
+    return v
+
+
 def oracle_views() -> dict[str, str]:
     v: dict[str, str] = {}
     bt, mt, tt = (tokens(fold_plain(c)) for c in ("brand", "model", "title"))
@@ -206,33 +243,8 @@ def oracle_views() -> dict[str, str]:
             from v_lots)))"""
     v["o_titles"] = f"select distinct title as t, {title_parts('title', 't')} from (select title from v_lots union select title from v_comps union select title from v_prices)"
     v["o_asked"] = "select distinct item_key, family, brand_key from o_lots"
-    n = P.comps_limit
     v["o_house"] = "select * from v_comps where source = 'house'"
-    v["o_by_key"] = f"select * from o_house qualify row_number() over (partition by query_key order by sold_at desc nulls last, comp_id) <= {n}"
-    v["o_by_family"] = f"""
-      select f.family, c.* from (select distinct family from o_asked) f
-      join (select distinct query_key as k from o_house) on starts_with(k, f.family) join o_house c on c.query_key = k
-      qualify row_number() over (partition by f.family order by sold_at desc nulls last, comp_id) <= {n}"""
-    v["o_by_brand"] = f"""
-      select string_split(query_key, ':')[2] as brand_key, c.* from o_house c where starts_with(query_key, 'bm:')
-      qualify row_number() over (partition by string_split(query_key, ':')[2] order by sold_at desc nulls last, comp_id) <= {3 * n}"""
-    v["o_tiers"] = """
-      select item_key, family, brand_key,
-        case when case when n1 < 5 and family <> item_key then n2 else n1 end < 3 and brand_key is not null then 3
-          when n1 < 5 and family <> item_key then 2 else 1 end as tier
-      from (select a.*, (select count(*) from o_by_key k where k.query_key = a.item_key) as n1,
-        (select count(*) from o_by_family f where f.family = a.family) as n2 from o_asked a)"""
-    cols = "comp_id, source, query_key, title, price, shipping, condition, is_sold, coalesce(sold_at, observed_at) as sold_at, observed_at, url"
-    v["o_house_rows"] = f"""
-      select item_key, tier, {cols} from o_tiers join o_by_key c on c.query_key = item_key where tier = 1
-      union all select t.item_key, tier, {cols} from o_tiers t join o_by_family c on c.family = t.family where tier = 2
-      union all select t.item_key, tier, {cols} from o_tiers t join o_by_brand c on c.brand_key = t.brand_key where tier = 3"""
-    v["o_stored"] = f"""
-      select f.family, c.* from (select distinct family from o_asked) f
-      join (select distinct query_key as k from v_comps where source <> 'house') on starts_with(k, f.family)
-      join v_comps c on c.query_key = k and c.source <> 'house'
-      qualify row_number() over (partition by f.family order by observed_at desc, comp_id) <= {n}"""
-    v["o_stored_rows"] = f"select item_key, 0 as tier, {cols} from o_asked a join o_stored c on c.family = a.family"
+    v |= lookup_views("o", None) | lookup_views("n", NEWEST)
     v["o_hits"] = f"""
       select l.lot_id, l.title as asked_title, r.*,
         case when source = 'house' and query_key = r.item_key then 1.0 else {similarity('a.tm', 'a.tw', 'b.tm', 'b.tw')} end as similarity

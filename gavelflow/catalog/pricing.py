@@ -13,6 +13,7 @@ from gavelflow.catalog.registry import query
 from gavelflow.functions import condition, money, text
 from gavelflow.operators import comps as oc
 from gavelflow.operators import parts
+from gavelflow.operators import scopes as sc
 
 
 def h(c, digits: int = 2):
@@ -208,9 +209,29 @@ def identity(g: Given) -> DataFrame:
     return oc.with_identity(g.lots)
 
 
-@query("j2_tiered_comp_lookup", "select item_key, cast(tier as int) as tier, comp_id from o_house_rows")
+_SCOPE = """case tier when 1 then 'k|' || item_key when 2 then 'f|' || family else 'b|' || brand_key end"""
+
+
+@query("j2_tiered_comp_lookup", f"""
+  select item_key, tier, {_SCOPE} as scope, coalesce(n, 0) as comps, price_sum
+  from (select *, cast(tier as int) as tier from (select * exclude (tier), tier from o_tiers)) t
+  left join (select item_key as k, count(*) as n, {r2('sum(cast(price as decimal(18, 4)))::double')} as price_sum from o_house_rows group by 1) r on k = item_key""")
 def j2(g: Given) -> DataFrame:
-    return oc.house_comps(identity(g), g.comps).select("item_key", "tier", "comp_id")
+    """The scope every item draws on, and what all its comps come to."""
+    asked = sc.lookup_scopes(identity(g), g.comps)
+    summed = sc.house_members(asked, g.comps).groupBy("scope").agg(h(F.sum(F.col("price").cast("decimal(18,4)")).cast("double")).alias("price_sum"))
+    return asked.join(summed, "scope", "left").select("item_key", "tier", "scope", "comps", "price_sum")
+
+
+@query("j2_scope_members", f"""
+  select distinct {_SCOPE} as scope, comp_id from o_house_rows r join (select item_key, family, brand_key from o_tiers) t using (item_key)""")
+def j2_members(g: Given) -> DataFrame:
+    return sc.house_members(sc.lookup_scopes(identity(g), g.comps), g.comps).select("scope", "comp_id")
+
+
+@query("j2_newest_forty", "select item_key, cast(tier as int) as tier, comp_id from n_house_rows")
+def j2_newest(g: Given) -> DataFrame:
+    return oc.house_comps(identity(g), g.comps, P.with_(comps_limit=o.NEWEST)).select("item_key", "tier", "comp_id")
 
 
 @query("s9_stored_comps", "select item_key, comp_id, source from o_stored_rows")
@@ -218,6 +239,11 @@ def s9(g: Given) -> DataFrame:
     return oc.stored_comps(identity(g), g.comps).select("item_key", "comp_id", "source")
 
 
+@query("s9_newest_forty", "select item_key, comp_id, source from n_stored_rows")
+def s9_newest(g: Given) -> DataFrame:
+    return oc.stored_comps(identity(g), g.comps, P.with_(comps_limit=o.NEWEST)).select("item_key", "comp_id", "source")
+
+
 @query("j3_fuzzy_title_pairs", f"""
   select a, b, {r2('s', 4)} as similarity from (select a.t as a, b.t as b, {o.similarity('a.tm', 'a.tw', 'b.tm', 'b.tw')} as s
     from o_titles a, o_titles b where a.t in (select title from v_lots) and b.t in (select title from v_comps where source = 'csv'))
@@ -236,25 +262,42 @@ def j3(g: Given) -> DataFrame:
   asked as (select distinct item_key, family, title from o_lots)
   select item_key, title as asked_title, count(*) as comps, min(comp_id) as first_comp, {r2('sum(cast(price as decimal(18, 4)))')} as price_sum
   from (select a.item_key, a.title, s.comp_id, s.price from asked a join pair on ta = a.title join sheet s on s.title = tb
-      where s >= 0.45 or row_family = a.family
-      qualify row_number() over (partition by a.item_key, a.title order by s.comp_id) <= 40) group by 1, 2""")
+      where s >= 0.45 or row_family = a.family) group by 1, 2""")
 def s6(g: Given) -> DataFrame:
-    sheet = g.comps.where("source = 'csv'").select("comp_id", "title", "price", "shipping", "condition", "sold_at", "url")
-    hits = oc.sheet_comps(identity(g), sheet)
+    totals = oc.sheet_totals(identity(g), sheet_rows(g))
+    return totals.select("item_key", "asked_title", "comps", "first_comp", h(F.col("price_sum").cast("double")).alias("price_sum"))
+
+
+@query("s6_first_forty", f"""
+  with sheet as (select c.*, {o.family('key')} as row_family from (select c.*, tm, tw,
+      case when len(tm) > 0 then 'm:' || {o.sorted_models('tm')}[1] when len(w5) > 0 then 't:' || array_to_string(list_sort(w5), '-') else 't:unknown' end as key
+      from v_comps c join (select *, {o.sig(o.tokens(o.fold_plain('t')), 5)} as w5 from o_titles) on t = c.title where source = 'csv') c),
+  pair as (select a.t as ta, b.t as tb, {o.similarity('a.tm', 'a.tw', 'b.tm', 'b.tw')} as s from o_titles a, o_titles b
+    where a.t in (select title from v_lots) and b.t in (select title from sheet)),
+  asked as (select distinct item_key, family, title from o_lots)
+  select item_key, title as asked_title, count(*) as comps, min(comp_id) as first_comp, {r2('sum(cast(price as decimal(18, 4)))')} as price_sum
+  from (select a.item_key, a.title, s.comp_id, s.price from asked a join pair on ta = a.title join sheet s on s.title = tb
+      where s >= 0.45 or row_family = a.family
+      qualify row_number() over (partition by a.item_key, a.title order by s.comp_id) <= {o.NEWEST}) group by 1, 2""")
+def s6_first(g: Given) -> DataFrame:
+    hits = oc.sheet_comps(identity(g), sheet_rows(g), P.with_(comps_limit=o.NEWEST))
     total = F.sum(F.col("price").cast("decimal(18,4)")).cast("double")
     return hits.groupBy("item_key", "asked_title").agg(
         F.count(F.lit(1)).alias("comps"), F.min("comp_id").alias("first_comp"), h(total).alias("price_sum"))
 
 
+def sheet_rows(g: Given) -> DataFrame:
+    return g.comps.where("source = 'csv'").select("comp_id", "title", "price", "shipping", "condition", "sold_at", "url")
+
+
 @query("u1_comp_union", "select lot_id, count(*) as points, count(distinct source) as sources from o_points group by 1")
 def u1(g: Given) -> DataFrame:
     keyed = identity(g)
-    pack = oc.scored_pack(keyed, [oc.house_pack(keyed, g.comps), oc.stored_pack(keyed, g.comps)])
-    sources = F.array_distinct(F.transform("rows", lambda r: r["source"]))
-    per_title = pack.select(
-        "item_key", "asked_title", F.size("rows").cast("long").alias("points"), F.size(sources).cast("long").alias("sources"))
-    return keyed.select("lot_id", "item_key", F.col("title").alias("asked_title")).join(
-        per_title, ["item_key", "asked_title"]).select("lot_id", "points", "sources")
+    scopes, rows = sc.scopes_and_members(keyed, g.comps)
+    per_scope = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("points"), F.collect_set("source").alias("sources"))
+    per_item = scopes.join(per_scope, "scope").groupBy("item_key").agg(
+        F.sum("points").alias("points"), F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).cast("long").alias("sources"))
+    return keyed.select("lot_id", "item_key").join(per_item, "item_key").select("lot_id", "points", "sources")
 
 
 _LATE = "timestamp '1999-01-01 00:00:00'"

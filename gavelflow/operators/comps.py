@@ -70,13 +70,20 @@ def _newest_by_family(asked: DataFrame, key_pack: DataFrame, order: list[Column]
     return _packed(top_per_group(rows, ["family"], order, limit), "family", name)
 
 
+def _given_limit(params: Params) -> int:
+    if params.comps_limit is None:
+        raise ValueError("packing comps into a row needs comps_limit")
+    return params.comps_limit
+
+
 def house_pack(queries: DataFrame, comps: DataFrame, params: Params = Params()) -> DataFrame:
-    """Own closing sales per item key as an array: exact key, then family, then brand.
+    """The newest own closing sales per item key as an array: exact key, then family, then brand.
 
     ``queries`` has item_key, family, brand_key. Each widening replaces the rows. The newest rows
-    per key, family and brand are cut out before any join, so no lot key meets a whole hot key.
+    per key, family and brand are cut out before any join, so no lot key meets a whole hot key. A pack
+    needs ``params.comps_limit``; lookups without a limit are in ``scopes``.
     """
-    limit = params.comps_limit
+    limit = _given_limit(params)
     order = [F.col("sold_at").desc(), F.col("comp_id")]
     house = comps.where(F.col("source") == "house").select(*COMP_COLUMNS)
     asked = queries.select("item_key", "family", "brand_key").distinct()
@@ -105,9 +112,10 @@ def stored_pack(
     """Cached outside comps whose key starts with the item family, newest observed first."""
     order = [F.col("observed_at").desc(), F.col("comp_id")]
     stored = comps.where(F.col("source").isin(list(sources))).select(*COMP_COLUMNS)
-    newest = _with_features(top_per_group(stored, ["query_key"], order, params.comps_limit))
+    limit = _given_limit(params)
+    newest = _with_features(top_per_group(stored, ["query_key"], order, limit))
     key_pack = _packed(newest, "query_key", "exact_rows")
-    by_family = _newest_by_family(queries, key_pack, order, params.comps_limit, "rows")
+    by_family = _newest_by_family(queries, key_pack, order, limit, "rows")
     asked = queries.select("item_key", "family").distinct()
     return asked.join(by_family, "family").select("item_key", F.lit(0).alias("tier"), "rows")
 
@@ -119,11 +127,25 @@ def unpack(pack: DataFrame) -> DataFrame:
 
 
 def house_comps(queries: DataFrame, comps: DataFrame, params: Params = Params()) -> DataFrame:
-    return unpack(house_pack(queries, comps, params))
+    """Own closing sales listed per item. Without a limit a brand's comps are listed for each of its thin
+    items; ``scopes`` says the same in a row per item and a row per comp."""
+    if params.comps_limit is not None:
+        return unpack(house_pack(queries, comps, params))
+    from gavelflow.operators import scopes
+
+    asked = scopes.lookup_scopes(queries, comps).select("item_key", "tier", "scope")
+    rows = asked.join(scopes.house_members(asked, comps), "scope").drop("scope")
+    return rows.withColumn("sold_at", F.coalesce("sold_at", "observed_at"))
 
 
 def stored_comps(queries: DataFrame, comps: DataFrame, params: Params = Params()) -> DataFrame:
-    return unpack(stored_pack(queries, comps, params))
+    if params.comps_limit is not None:
+        return unpack(stored_pack(queries, comps, params))
+    from gavelflow.operators import scopes
+
+    asked = queries.select("item_key", F.concat(F.lit(scopes.STORED), F.col("family")).alias("scope"), F.lit(0).alias("tier")).distinct()
+    rows = asked.join(scopes.stored_members(queries, comps), "scope").drop("scope")
+    return rows.withColumn("sold_at", F.coalesce("sold_at", "observed_at"))
 
 
 def scored_pack(queries: DataFrame, packs: Sequence[DataFrame], dedupe: bool = True) -> DataFrame:
@@ -182,53 +204,86 @@ def _unseen(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # --- fuzzy titles -------------------------------------------------------------------------------
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of distinct titles (a, b) whose similarity reaches the threshold, with the similarity.
+def similar_titles(left: DataFrame, right: DataFrame, threshold: float, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct titles (a, b) whose similarity reaches the threshold, with the similarity; with
+    ``within``, pairs that agree on those columns.
 
     Exact: titles that share a model number join on it; otherwise only the rarest words of a title
     are indexed, as many as two titles of this Jaccard similarity must share at least one of.
     """
-    a = pin(left.select(F.col("title").alias("a")).distinct(), fa=text.title_features("a"))
-    b = pin(right.select(F.col("title").alias("b")).distinct(), fb=text.title_features("b"))
-    by_model = a.select("a", "fa", F.explode("fa.models").alias("k")).join(
-        b.select("b", "fb", F.explode("fb.models").alias("k")), "k").select("a", "b", "fa", "fb")
+    on = list(within)
+    a = pin(left.select(*on, F.col("title").alias("a")).distinct(), fa=text.title_features("a"))
+    b = pin(right.select(*on, F.col("title").alias("b")).distinct(), fb=text.title_features("b"))
+    by_model = a.select(*on, "a", "fa", F.explode("fa.models").alias("k")).join(
+        b.select(*on, "b", "fb", F.explode("fb.models").alias("k")), [*on, "k"]).select(*on, "a", "b", "fa", "fb")
     words = a.select(F.explode("fa.words").alias("w")).unionByName(b.select(F.explode("fb.words").alias("w")))
     freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
 
     def rare_words(side: DataFrame, name: str, feat: str) -> DataFrame:
-        each = side.select(name, F.explode(f"{feat}.words").alias("w")).join(freq, "w")
-        sorted_words = each.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+        # two titles that both have a model number are alike by that number only
+        each = side.select(*on, name, F.col(f"{feat}.models").alias("ms"), F.explode(f"{feat}.words").alias("w")).join(freq, "w")
+        sorted_words = each.groupBy(*on, name).agg(
+            F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"), F.max(F.size("ms") > 0).alias("_m"))
         n = F.size("ws")
+        # as many words as the other title must share at least one of; and its number of words lies in a range
         keep = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-        picked = sorted_words.select(name, F.explode(F.slice("ws", 1, keep)).alias("s"))
-        return picked.select(name, F.col("s.w").alias("k"))
+        picked = sorted_words.select(*on, name, "_m", n.alias("_n"), F.posexplode(F.slice("ws", 1, keep)).alias("_p", "s"))
+        return picked.select(*on, F.col("s.w").alias("k"), name, F.struct("_m", "_n", "_p").alias(f"_{name}"))
 
-    pairs = rare_words(a, "a", "fa").join(rare_words(b, "b", "fb"), "k").select("a", "b").distinct()
-    by_words = pairs.join(a, "a").join(b, "b").where((F.size("fa.models") == 0) | (F.size("fb.models") == 0))
-    both = by_model.select("a", "b", "fa", "fb").unionByName(by_words.select("a", "b", "fa", "fb"))
-    scored = both.select("a", "b", text.feature_similarity(F.col("fa"), F.col("fb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
+    pairs = rare_words(a, "a", "fa").join(rare_words(b, "b", "fb"), [*on, "k"])
+    size_a, size_b = F.col("_a._n"), F.col("_b._n")
+    least = F.ceil((size_a + size_b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))  # words to share
+    possible = F.least(size_a - F.col("_a._p"), size_b - F.col("_b._p"))  # this one and those behind it
+    pairs = pairs.where(~(F.col("_a._m") & F.col("_b._m")) & (possible >= least)).select(*on, "a", "b").distinct()
+    by_words = pairs.join(a, [*on, "a"]).join(b, [*on, "b"])
+    both = by_model.select(*on, "a", "b", "fa", "fb").unionByName(by_words.select(*on, "a", "b", "fa", "fb"))
+    scored = both.select(*on, "a", "b", text.feature_similarity(F.col("fa"), F.col("fb")).alias("similarity"))
+    return scored.where(F.col("similarity") >= threshold).dropDuplicates([*on, "a", "b"])
+
+
+def _sheet_rows(sheet: DataFrame) -> DataFrame:
+    return pin(pin(sheet, row_key=text.normalize_item_key("title")), row_family=text.key_family("row_key")).drop("row_key")
 
 
 def sheet_comps(queries: DataFrame, sheet: DataFrame, params: Params = Params()) -> DataFrame:
     """Price-sheet rows for each (item_key, family, title): same family or similar title.
 
     Sheet rows carry title, price, shipping, condition, sold_at, url and ``comp_id`` in file order;
-    the first rows in that order win, as many as a source may give per item.
+    with ``params.comps_limit`` the first rows in that order win. Without a limit ``sheet_totals`` says
+    what they come to in a row per item.
     """
     n = params.comps_limit
     asked = queries.select("item_key", "family", F.col("title").alias("asked_title")).distinct()
-    rows = pin(pin(sheet, row_key=text.normalize_item_key("title")), row_family=text.key_family("row_key")).drop("row_key")
+    rows = _sheet_rows(sheet)
     order = [F.col("comp_id")]
-    same_family = asked.join(
-        top_per_group(rows, ["row_family"], order, n), F.col("family") == F.col("row_family"))
+    first = lambda df, keys: df if n is None else top_per_group(df, keys, order, n)
+    same_family = asked.join(first(rows, ["row_family"]), F.col("family") == F.col("row_family"))
     similar = similar_titles(asked.select(F.col("asked_title").alias("title")), rows, params.min_similarity)
-    by_title = top_per_group(rows, ["title"], order, n)
-    close = asked.join(similar, F.col("asked_title") == F.col("a")).join(by_title, F.col("b") == F.col("title"))
+    close = asked.join(similar, F.col("asked_title") == F.col("a")).join(first(rows, ["title"]), F.col("b") == F.col("title"))
     kept = ["item_key", "asked_title", *[c for c in rows.columns if c != "row_family"]]
     hits = same_family.select(*kept).unionByName(close.select(*kept)).dropDuplicates(["item_key", "asked_title", "comp_id"])
-    first = top_per_group(hits, ["item_key", "asked_title"], order, n)
-    return first.withColumn("similarity", text.score_similarity("asked_title", "title"))
+    return first(hits, ["item_key", "asked_title"]).withColumn("similarity", text.score_similarity("asked_title", "title"))
+
+
+def sheet_totals(queries: DataFrame, sheet: DataFrame, params: Params = Params()) -> DataFrame:
+    """``item_key, asked_title, comps, first_comp, price_sum`` over all sheet rows of the item's family or
+    of a similar title. Rows are summed per family and title first, so an item meets a row per title."""
+    asked = queries.select("item_key", "family", F.col("title").alias("asked_title")).distinct()
+    summed = _sheet_rows(sheet).groupBy("row_family", "title").agg(
+        F.count(F.lit(1)).alias("comps"), F.min("comp_id").alias("first_comp"), F.sum(F.col("price").cast("decimal(18,4)")).alias("price_sum"))
+    classes = durable(summed)
+    cols = ["comps", "first_comp", "price_sum"]
+    similar = similar_titles(asked.select(F.col("asked_title").alias("title")), classes.select("title"), params.min_similarity)
+    by_title = classes.groupBy("title").agg(F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum"))
+    close = similar.join(by_title, F.col("b") == F.col("title")).groupBy("a").agg(
+        F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum"))
+    near = asked.join(close, F.col("asked_title") == F.col("a")).select("item_key", "asked_title", *cols)
+    # of the item's own family only the titles that were not counted as similar
+    own = asked.join(classes, F.col("family") == F.col("row_family"))
+    again = similar.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    own = own.join(again, (F.col("asked_title") == F.col("_a")) & (F.col("title") == F.col("_b")), "left_anti").select("item_key", "asked_title", *cols)
+    return near.unionByName(own).groupBy("item_key", "asked_title").agg(
+        F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum"))
 
 
 # --- aggregate ----------------------------------------------------------------------------------

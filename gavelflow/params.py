@@ -31,7 +31,7 @@ class Params:
     min_similarity: float = 0.45
     trim_fraction: float = 0.1
     min_sample: int = 3
-    comps_limit: int = 40
+    comps_limit: int | None = None  # comps a lookup gives an item, all by default
     # market
     fresh_days: int = 21
     min_rating: float = 4.0
@@ -48,6 +48,8 @@ class Params:
     grace_minutes: int = 20
     # execution: groups above this many rows are split before ordering
     heavy_rows: int = 2_000_000
+    # execution: an item with up to this many comps is valued inside its row
+    packed_points: int = 4096
     # execution: a side is broadcast only when a bounded count stays under this
     broadcast_rows: int = 20_000
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gavelflow.functions import text
 from gavelflow.operators import comps as oc
 from gavelflow.operators import lots as ol
-from gavelflow.operators import market, splitting, watch
+from gavelflow.operators import market, scopes, splitting, watch
 from gavelflow.params import Params
 from gavelflow.plans import valuation
 from gavelflow.schemas import CARD, COMMITMENT, COMP, LOT, OBSERVATION, PRICE, WATCH
@@ -39,8 +39,12 @@ def test_tier_choice(spark, n_exact, tier):
 def test_brand_tier_when_everything_else_is_thin(spark):
     rows = [comp(i, "bm:dewalt:xyz100") for i in range(130)]
     lots = spark.createDataFrame([("DeWalt DCD999B drill", "DeWalt", "DCD999B", None)], "title string, brand string, model string, upc string")
-    got = oc.house_comps(oc.with_identity(lots), rows_of(spark, COMP, rows)).collect()
+    keyed, comps = oc.with_identity(lots), rows_of(spark, COMP, rows)
+    got = oc.house_comps(keyed, comps).collect()
+    assert {r["tier"] for r in got} == {3} and len(got) == 130
+    got = oc.house_comps(keyed, comps, Params(comps_limit=40)).collect()
     assert {r["tier"] for r in got} == {3} and len(got) == 120
+    assert [tuple(r) for r in scopes.lookup_scopes(keyed, comps).select("tier", "scope", "comps").collect()] == [(3, "b|dewalt", 130)]
 
 
 def test_family_matches_equal_a_prefix_scan(spark):
