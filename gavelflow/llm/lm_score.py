@@ -87,7 +87,7 @@ def _counted(batches: Iterator):
             for words in pieces(text):
                 found.update(words)
             found[b""] += 1  # the end
-            if len(found) >= 200_000:
+            if len(found) >= 150_000:
                 yield out()
                 found.clear()
     if found:
@@ -200,7 +200,7 @@ def run_counts(texts: DataFrame, vocabulary: Shared) -> DataFrame:
             for text in _texts(batch):
                 held.append(v.codes(v.read(text)[0]))
                 size += len(held[-1])
-                if size >= 4_000_000:
+                if size >= 1_500_000:
                     yield out()
                     held, size = [], 0
         if held:
@@ -384,7 +384,7 @@ def _head_scores(vocabulary: Shared, parameters, size: int, kind):
                 got, rest = v.read(text)
                 docs.append((name, held, got, rest))
                 tokens += len(got) + 1
-                if tokens >= 1_000_000:
+                if tokens >= 400_000:
                     yield out()
         if docs:
             yield out()
