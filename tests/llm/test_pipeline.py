@@ -27,7 +27,7 @@ def test_query_equals_its_oracle(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in llm.queries() if n != "pipeline"] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm.queries() if n != "pipeline"] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages_keep_the_columns_and_take_effect(spark):
