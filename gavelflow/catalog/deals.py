@@ -143,7 +143,8 @@ def f23(g: Given) -> DataFrame:
     lots = identity(g)
     view = market.market_view(lots, g.prices, g.as_of, LONG).join(lots.select("lot_id", (F.col("current_bid") * 1.2261875).alias("landed")), "lot_id")
     d = market.ceiling_decision(F.col("landed"), F.col("best_alternative_price"), F.col("opportunity_ceiling"), F.col("best_alternative_note"))
-    says = F.regexp_extract("d.reason", r"^(no verified|landed cost|only|comfortably)", 1)
+    says = F.when(F.col("d.code") == "unknown", "no verified").when(F.col("d.code") == "dearer", "landed cost").when(
+        F.col("d.code") == "too close", "only").otherwise("comfortably")
     return view.withColumn("d", d).select("lot_id", F.col("d.allowed").alias("allowed"), says.alias("says"))
 
 
@@ -210,12 +211,8 @@ _TRY = "(select lot_id, category, 20.0 + current_bid as landed_try from v_lots)"
 def f24(g: Given) -> DataFrame:
     lots = g.lots.withColumn("landed_try", F.col("current_bid") + 20.0)
     out = risk.check_exposure(lots, g.lots, g.commit, CAPS, "landed_try")
-    said = F.col("exposure_reason")
-    why = (
-        F.when(said.startswith("Would put"), "total").when(said.startswith("Already"), "lots")
-        .when(said.contains("per-category"), "category").when(said.isNotNull(), "overlap"))
     return out.select(
-        "lot_id", F.col("exposure_allowed").alias("allowed"), why.alias("why"), h("worst_case_total").alias("worst_case_total"), "overlapping")
+        "lot_id", F.col("exposure_allowed").alias("allowed"), F.col("exposure_code").alias("why"), h("worst_case_total").alias("worst_case_total"), "overlapping")
 
 
 @query("j10_rebid_replaces", f"""
@@ -269,11 +266,7 @@ def valued_sql(lots: str = "v_lots", extra: str = "", p=CAPS) -> str:
 
 
 def verdict_class():
-    r = F.col("reason")
-    return (
-        F.when(F.col("recommended"), "bid").when(r.startswith("Fatal"), "fatal").when(r.startswith("No viable"), "no bid")
-        .when(r.startswith("Already past"), "past max").when(r.startswith("Too thin"), "thin").when(r.startswith("No comparable"), "no comps")
-        .when(r.startswith("landed cost") | r.startswith("only"), "ceiling").otherwise("exposure"))
+    return F.col("reason_code")
 
 
 def value_all(g: Given, lots: DataFrame | None = None, **kw) -> DataFrame:

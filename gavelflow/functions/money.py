@@ -220,17 +220,14 @@ def score_confidence(value: Column, count: Column, spread: Column, age_days: Col
         .when(level == "medium", F.lit(params.med_bump)).otherwise(F.lit(params.low_bump))
     )
     doubts = F.array_compact(F.array(
-        F.when(count < F.least(F.lit(params.min_sample), F.lit(6)), F.concat(F.lit("only "), count.cast("string"), F.lit(" comp(s)"))),
-        F.when(spread > 0.9, F.concat(F.lit("very wide price spread ("), whole(spread * 100), F.lit("% of value)")))
-        .when(spread > 0.5, F.concat(F.lit("wide price spread ("), whole(spread * 100), F.lit("% of value)"))),
-        F.when(age_days > 90, F.concat(F.lit("comps are stale (median "), whole(age_days), F.lit(" days old)"))),
-        F.when(~sold, F.lit("only active listings (asking prices), no confirmed sales")),
-    ))
-    clustered = F.array(F.concat(
-        count.cast("string"), F.lit(" comps from "), F.array_join(sources, ", "), F.lit(", tightly clustered")
+        F.when(count < F.least(F.lit(params.min_sample), F.lit(6)), F.concat(F.lit("few comps: "), count.cast("string"))),
+        F.when(spread > 0.5, F.concat(F.lit("middle half of prices spans "), whole(spread * 100), F.lit("% of value"))),
+        F.when(age_days > 90, F.concat(F.lit("median age in days: "), whole(age_days))),
+        F.when(~sold, F.lit("asking prices, nothing sold")),
     ))
+    clustered = F.array(F.concat(F.lit("comps: "), count.cast("string"), F.lit(", of "), F.array_join(sources, ", ")))
     reasons = (
-        F.when(nothing, F.array(F.lit("no comparable sales found")))
+        F.when(nothing, F.array(F.lit("no comps")))
         .when(F.size(doubts) == 0, clustered).otherwise(doubts)
     )
     return F.struct(score.alias("score"), level.alias("level"), bump.alias("margin_bump"), reasons.alias("reasons"))

@@ -144,21 +144,13 @@ def verify_retail(street: Column, stated: Column, listings: Column) -> Column:
         .when(ratio >= 1 + lx.RETAIL_TOLERANCE, "understated")
         .when(ratio >= 1 - lx.RETAIL_TOLERANCE, "verified").otherwise("overstated")
     )
-    n, claim = listings.cast("string"), F.concat(F.lit("$"), F.format_number(stated, 0))
+    seen = F.concat(money.dollars(street), F.lit(" in "), listings.cast("string"), F.lit(" new listings"))
+    claim = F.concat(F.lit("stated retail $"), F.format_number(stated, 0))
     note = (
-        F.when(none_found & (F.coalesce(stated, F.lit(0.0)) != 0),
-               F.lit("couldn't find this exact item for sale new — stated retail is unconfirmed"))
-        .when(none_found, F.lit("no retail price and nothing found for sale"))
-        .when(stated.isNull(), F.concat(F.lit("no stated retail; real listings put it around "), money.dollars(street)))
-        .when(status == "understated", F.concat(
-            F.lit("stated retail "), claim, F.lit(" is below the "), money.dollars(street),
-            F.lit(" street price across "), n, F.lit(" listing(s)")))
-        .when(status == "verified", F.concat(
-            F.lit("confirmed: "), n, F.lit(" listing(s) around "), money.dollars(street),
-            F.lit(", consistent with the "), claim, F.lit(" claim")))
-        .otherwise(F.concat(
-            F.lit("stated retail "), claim, F.lit(" is overstated — the same item sells for about "),
-            money.dollars(street), F.lit(" new ("), n, F.lit(" listing(s))")))
+        F.when(none_found & (F.coalesce(stated, F.lit(0.0)) != 0), F.concat(claim, F.lit(": unchecked, not listed new")))
+        .when(none_found, F.lit("neither stated nor listed"))
+        .when(stated.isNull(), F.concat(F.lit("not stated; "), seen))
+        .otherwise(F.concat(claim, F.lit(": "), status, F.lit(", "), seen))
     )
     return F.struct(
         F.when(~none_found, street).alias("verified_retail"), status.alias("verification"), note.alias("note"))
@@ -229,10 +221,9 @@ def market_view(lots: DataFrame, prices: DataFrame, as_of: Column, params: Param
     notes = F.array_compact(F.array(
         F.col("check.note"),
         F.when(F.col("best.kind").isin(SUBSTITUTE_KINDS),
-               F.concat(F.lit("cheapest comparable option is a substitute: "), described)),
+               F.concat(F.lit("best offer is of a substitute: "), described)),
         F.when(rejected > 0, F.concat(
-            rejected.cast("string"),
-            F.lit(f" cheaper option(s) ignored for failing the quality bar ({params.min_rating}★ / {params.min_reviews} reviews)"))),
+            F.lit(f"offers under {params.min_rating} stars or {params.min_reviews} reviews: "), rejected.cast("string"))),
     ))
     return view.select(
         "lot_id", F.col("check.verified_retail").alias("verified_retail"), F.col("check.verification").alias("verification"),
@@ -254,19 +245,17 @@ def describe_option(best: Column) -> Column:
 
 
 def ceiling_decision(landed: Column, price: Column, ceiling: Column, described: Column) -> Column:
-    """Struct allowed/reason: never pay auction prices above the cheapest real option."""
+    """Struct allowed, ceiling, reason and its code: a bid must stay below what the item costs elsewhere."""
     over_price, over_ceiling = landed > price, landed > ceiling
+    code = F.when(ceiling.isNull(), "unknown").when(over_price, "dearer").when(over_ceiling, "too close").otherwise("cheaper")
+    offer = F.concat(F.lit("in all "), money.dollars(landed), F.lit(", elsewhere "), described)
     reason = (
-        F.when(ceiling.isNull(), F.lit("no verified alternative found — bid on comps alone, with care"))
-        .when(over_price, F.concat(F.lit("landed cost "), money.dollars(landed), F.lit(" exceeds buying it outright: "),
-                                   described, F.lit(". Don't bid.")))
-        .when(over_ceiling, F.concat(
-            F.lit("only "), money.dollars(price - landed), F.lit(" cheaper than "), described,
-            F.lit(" — not worth the pickup, no warranty and no returns. Bid below "), money.dollars(ceiling), F.lit(".")))
-        .otherwise(F.concat(F.lit("comfortably under the best alternative ("), described, F.lit(")")))
+        F.when(code == "unknown", F.lit("no offer elsewhere to compare with"))
+        .when(code == "too close", F.concat(offer, F.lit(f": saves less than {lx.NEW_DISCOUNT:.0%}, limit "), money.dollars(ceiling)))
+        .otherwise(offer)
     )
     allowed = F.coalesce(~(over_price | over_ceiling), F.lit(True))
-    return F.struct(allowed.alias("allowed"), ceiling.alias("ceiling"), reason.alias("reason"))
+    return F.struct(allowed.alias("allowed"), ceiling.alias("ceiling"), reason.alias("reason"), code.alias("code"))
 
 
 # --- price checks --------------------------------------------------------------------------------
