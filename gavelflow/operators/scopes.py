@@ -30,7 +30,7 @@ from gavelflow.functions import money
 from gavelflow.operators import comps as oc
 from gavelflow.operators.splitting import positions, split_heavy
 from gavelflow.params import Params
-from gavelflow.session import durable
+from gavelflow.session import written
 
 KEY, FAMILY, BRAND, STORED = "k|", "f|", "b|", "s|"
 ASK = ["item_key", "title"]
@@ -66,17 +66,21 @@ def lookup_scopes(queries: DataFrame, comps: DataFrame) -> DataFrame:
         F.when(F.col("_thin"), F.coalesce("_n3", F.lit(0))).otherwise(F.col("_now")).alias("comps"))
 
 
-def house_members(scopes: DataFrame, comps: DataFrame) -> DataFrame:
-    """The own comps of every scope asked for, with ``scope``; a comp is in few scopes."""
-    house = comps.where("source = 'house'").select(*oc.COMP_COLUMNS)
+def house_scopes(scopes: DataFrame, keys: DataFrame) -> DataFrame:
+    """``query_key, scope`` of each of ``keys`` (distinct) and each scope asked for that holds it; few per key."""
     asked = scopes.select("scope").distinct()
-    keys = house.select("query_key").distinct()
     families = asked.where(F.col("scope").startswith(FAMILY)).select(F.substring("scope", 3, 1 << 30).alias("family"))
     named = [
         keys.select("query_key", _scoped(KEY, "query_key").alias("scope")),
         keys.where(F.col("query_key").startswith("bm:")).select("query_key", F.concat(F.lit(BRAND), _brand()).alias("scope")),
         oc.family_matches(families, keys).select("query_key", _scoped(FAMILY, "family").alias("scope"))]
-    return house.join(reduce(DataFrame.unionByName, named).join(asked, "scope", "left_semi"), "query_key")
+    return reduce(DataFrame.unionByName, named).join(asked, "scope", "left_semi")
+
+
+def house_members(scopes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The own comps of every scope asked for, with ``scope``."""
+    house = comps.where("source = 'house'").select(*oc.COMP_COLUMNS)
+    return house.join(house_scopes(scopes, house.select("query_key").distinct()), "query_key")
 
 
 def stored_members(queries: DataFrame, comps: DataFrame, sources: Sequence[str] = tuple(lx.STORED_SOURCES)) -> DataFrame:
@@ -134,20 +138,20 @@ def comp_values(
 ) -> DataFrame:
     """Trimmed weighted median, count, spread, age and sources per distinct (item_key, title)."""
     scopes, rows = scopes_and_members(queries, comps, dedupe)
-    points = durable(scope_points(rows, as_of, params))
-    asks = durable(queries.select(*ASK).distinct().join(scopes, "item_key"))
+    points = written(scope_points(rows, as_of, params), "points")
+    asks = written(queries.select(*ASK).distinct().join(scopes, "item_key"), "asks")
     classes = points.groupBy("scope", "t", "cls").agg(F.count(F.lit(1)).alias("n"))
-    pairs = durable(class_pairs(asks, classes, params))
+    pairs = written(class_pairs(asks, classes, params), "pairs")
     own = asks.join(points.where("own is not null").withColumnRenamed("scope", "_s"), (F.col("scope") == F.col("_s")) & (F.col("item_key") == F.col("own")))
     own = own.drop("scope", "_s")
     sizes = pairs.join(classes.select("cls", "n"), "cls").groupBy(*ASK).agg(F.sum("n").alias("n")).where(F.col("n") > params.packed_points)
-    many = durable(sizes.select(*ASK))
+    many = written(sizes.select(*ASK), "many")
     if many.isEmpty():
         return packed_values(pairs, points, own, as_of, params)
     few = lambda df: df.join(many, ASK, "left_anti")
     rest = lambda df: df.join(many, ASK, "left_semi")
     return packed_values(few(pairs), points, few(own), as_of, params).unionByName(
-        descended_values(durable(rest(pairs)), points, durable(rest(own)), as_of, params))
+        descended_values(written(rest(pairs), "pairs"), points, written(rest(own), "own"), as_of, params))
 
 
 def _met(pairs: DataFrame, points: DataFrame, own: DataFrame) -> DataFrame:
@@ -175,12 +179,12 @@ def descended_values(pairs: DataFrame, points: DataFrame, own: DataFrame, as_of:
     asks = pairs.select(*ASK).distinct()
     used = points.join(pairs.select("cls").distinct(), "cls", "left_semi")
     grain = ["b", "a", "total", "adjusted", "age", "source"]
-    cells = durable(used.groupBy("cls", *grain).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")))
+    cells = written(used.groupBy("cls", *grain).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")), "cells")
     # comps of the item's own key: out of their class, in by themselves
     mine = own.join(pairs.select(*ASK, "cls", F.col("similarity").alias("_sim")), [*ASK, "cls"], "left")
     moved = mine.select(*ASK, *grain, F.lit(1).cast("long").alias("n"), F.col("w"), F.lit(1.0).alias("similarity")).unionByName(
         mine.where("_sim is not null").select(*ASK, *grain, F.lit(-1).cast("long").alias("n"), (-F.col("w")).alias("w"), F.col("_sim").alias("similarity")))
-    moved = durable(moved)
+    moved = written(moved, "moved")
 
     def gathered(cols: Sequence[str], where: Column | None = None, ends: DataFrame | None = None) -> DataFrame:
         """Counts and weights per ask and ``cols``; ``where`` may use columns of ``ends`` (one row per ask)."""
@@ -194,24 +198,24 @@ def descended_values(pairs: DataFrame, points: DataFrame, own: DataFrame, as_of:
         return rows.groupBy(*ASK, *cols).agg(F.sum("n").alias("n"), F.sum(weight).cast("decimal(38,18)").alias("w"))
 
     # the ranks that matter, first by bin, then by value
-    bins = durable(gathered(["b"]))
+    bins = written(gathered(["b"]), "bins")
     sizes = bins.groupBy(*ASK).agg(F.sum("n").alias("n0")).where("n0 > 0")
     trim = F.when(F.col("n0") >= 8, F.greatest(F.lit(1), F.floor(F.col("n0") * F.lit(params.trim_fraction)))).otherwise(F.lit(0)).cast("long")
-    sizes = durable(sizes.withColumn("trim", trim).withColumn("kept", F.col("n0") - 2 * F.col("trim")))
+    sizes = written(sizes.withColumn("trim", trim).withColumn("kept", F.col("n0") - 2 * F.col("trim")), "sizes")
     wanted = F.array(*[F.struct(F.lit(k).alias("which"), r.cast("long").alias("rank")) for k, r in (
         ("lo", F.col("trim") + 1), ("hi", F.col("n0") - F.col("trim")), ("q1", F.expr("trim + kept div 4 + 1")),
         ("q3", F.expr("trim + (3 * kept) div 4 + 1")))])
     ranks = sizes.select(*ASK, F.inline(wanted))
     inside = (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto"))
     at_bin = ranks.join(_running(bins, ASK, "b", "n"), ASK).where(inside).select(*ASK, "which", "rank", "b", "before")
-    at_bin = durable(at_bin)
+    at_bin = written(at_bin, "at_bin")
     some = at_bin.select(*ASK, F.col("b").alias("_b"), F.col("before").alias("_start")).distinct()
     values = cells_in(pairs, cells, moved, some, ASK)
     values = _running(values, [*ASK, "b"], "total", "n")
     values = values.withColumn("before", F.col("before") + F.col("_start")).withColumn("upto", F.col("upto") + F.col("_start"))
     at = at_bin.drop("before").join(values.select(*ASK, "b", "total", "before", "upto"), [*ASK, "b"]).where(inside)
     at = at.groupBy(*ASK).agg(*[F.max(F.when(F.col("which") == k, F.col(c))).alias(f"{k}_{c}") for k in ("lo", "hi", "q1", "q3") for c in ("b", "total", "before")])
-    ends = durable(at.join(sizes, ASK))
+    ends = written(at.join(sizes, ASK), "ends")
 
     # comps at the very values of both ends, one by one
     runs = ends.select(*ASK, F.explode(F.array_distinct(F.array(
@@ -225,24 +229,24 @@ def descended_values(pairs: DataFrame, points: DataFrame, own: DataFrame, as_of:
     place = F.col("pos") + F.col("_start")
     ranked = ranked.join(sizes.select(*ASK, "n0", "trim"), ASK).where((place > F.col("trim")) & (place <= F.col("n0") - F.col("trim")))
     weight = F.col("w") * F.greatest(F.lit(0.1), F.col("similarity")).cast("decimal(10,9)")
-    single = durable(ranked.select(*ASK, "a", "adjusted", "age", "source", F.lit(1).cast("long").alias("n"), weight.cast("decimal(38,18)").alias("w")))
+    single = written(ranked.select(*ASK, "a", "adjusted", "age", "source", F.lit(1).cast("long").alias("n"), weight.cast("decimal(38,18)").alias("w")), "single")
 
     # everything kept: whole bins, values in the bins of the ends, single comps
     bounds = ends.select(*ASK, "lo_b", "hi_b", "lo_total", "hi_total")
     whole = (F.col("b") > F.col("lo_b")) & (F.col("b") < F.col("hi_b"))
     border = F.col("b").isin(F.col("lo_b"), F.col("hi_b")) & (F.col("total") > F.col("lo_total")) & (F.col("total") < F.col("hi_total"))
-    fine = durable(gathered(["a", "adjusted", "age", "source", "b", "total"], border, bounds).select(*ASK, "a", "adjusted", "age", "source", "n", "w"))
+    fine = written(gathered(["a", "adjusted", "age", "source", "b", "total"], border, bounds).select(*ASK, "a", "adjusted", "age", "source", "n", "w"), "fine")
 
     def kept(cols: Sequence[str]) -> DataFrame:
         parts = [gathered(cols, whole, bounds), *[x.groupBy(*ASK, *cols).agg(F.sum("n").alias("n"), F.sum("w").cast("decimal(38,18)").alias("w")) for x in (fine, single)]]
         return reduce(DataFrame.unionByName, parts).groupBy(*ASK, *cols).agg(F.sum("n").alias("n"), F.sum("w").cast("decimal(38,18)").alias("w")).where("n > 0")
 
-    by_bin = durable(kept(["a"]))
+    by_bin = written(kept(["a"]), "by_bin")
     all_ = by_bin.groupBy(*ASK).agg(F.sum("w").cast("decimal(38,18)").alias("all_w"))
     half = 2 * F.col("upto") >= F.col("all_w")
     target = _running(by_bin, ASK, "a", "w").join(all_, ASK).where(half).groupBy(*ASK).agg(
         F.min(F.struct("a", "before", "all_w")).alias("_m")).select(*ASK, F.col("_m.a").alias("_a"), F.col("_m.before").alias("_w0"), F.col("_m.all_w").alias("all_w"))
-    target = durable(target)
+    target = written(target, "target")
     in_bin = gathered(["adjusted", "a"], whole & (F.col("a") == F.col("_a")), bounds.join(target.select(*ASK, "_a"), ASK)).select(*ASK, "adjusted", "w")
     for x in (fine, single):
         in_bin = in_bin.unionByName(x.join(target.select(*ASK, "_a"), ASK).where("a = _a").select(*ASK, "adjusted", "w"))
