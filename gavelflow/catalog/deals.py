@@ -15,7 +15,7 @@ from gavelflow.functions import alerts
 from gavelflow.functions import books as fb
 from gavelflow.operators import books, market, reports, risk, watch
 from gavelflow.operators import lots as ol
-from gavelflow.plans import sweep, valuation
+from gavelflow.plans import maintained, sweep, valuation
 
 EV = f"timestamp '{EVENTS_AS_OF}'"
 # caps wide enough that every outcome of the exposure test occurs
@@ -301,6 +301,15 @@ def v3(g: Given) -> DataFrame:
         g.lots, g.comps, g.prices, g.commit, g.as_of, CAPS, part_prices=g.part_prices))
 
 
+@query("v3_maintained_revaluation", f"with {valued_sql()} select {_V} from valued where not is_closed and close_at is not null")
+def v3_maintained(g: Given) -> DataFrame:
+    """Valued before the last of the comps and prices came in, then kept up to date: as one full run."""
+    early = F.col("observed_at") < F.lit("1998-06-01").cast("timestamp")
+    lots, tables = valuation.open_lots_nearest(g.lots), {"part_prices": g.part_prices, "all_lots": g.lots}
+    first = maintained.revalue(None, lots, g.comps.where(early), g.prices.where(early), g.commit, g.as_of, CAPS, **tables)
+    return show_valued(maintained.revalue(first.inputs, lots, g.comps, g.prices, g.commit, g.as_of, CAPS, **tables).valuations)
+
+
 @query("p5_closing_soon", f"""
   with {valued_sql()}
   select lot_id, bid as walk_away_max_bid from valued
