@@ -5,11 +5,12 @@ aggregation. Where the estimate is close to the threshold, the sites are counted
 ``min_sites`` sites or more is boilerplate: it is cut from every document but the first that holds
 it (smallest id, then text hash, then position), so that copies of one page do not erase each other.
 
-Lines are compared without the white space around them; lines of fewer than ``min_words`` words are
-left alone, since chance alone repeats them. A line is named by 96 bits of hash.
+Lines are compared without the white space around them; a line of one word counts like any other, lines
+without words are left alone (``min_words`` leaves more alone). A line is named by 96 bits of hash.
 
 Defined cases: a missing text is empty; a missing site counts as none; repeated rows (same id and
-text) are one document and get the same result; without rows there is no result. Result columns
+text) are one document and get the same result; a long text counts whole, its lines a row each; without
+rows there is no result. Result columns
 replace columns of the input that have the same name.
 """
 
@@ -32,7 +33,7 @@ def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
         *DOC_KEY, "_pos", "_site", F.xxhash64(line).alias("_h1"), F.hash(line).alias("_h2"))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 8, min_words: int = 3, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 8, min_words: int = 1, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """Hashes of the boilerplate lines with the first place of each (``_first``).
 
     A sketch of 2^12 registers is off by 1.6 % (one sigma); ``band`` is far wider, so that only lines
@@ -52,7 +53,7 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 8, min_
     return known.where(sure).unionByName(proven).select(*LINE, "_first")
 
 
-def strip_boilerplate(docs: DataFrame, site: str = "source", min_words: int = 3, **options) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, site: str = "source", min_words: int = 1, **options) -> DataFrame:
     """The rows of ``docs`` with boilerplate lines cut from ``text``, and ``n_lines``, ``n_removed``."""
     spread = spread_lines(docs, site, min_words=min_words, **options)
     # a common line would be one key: both sides carry a salt, the short one all of them

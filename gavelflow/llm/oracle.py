@@ -48,7 +48,7 @@ with lines as (
       unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as pos from documents)),
 spread as (
   select form, min(doc_id) as first_doc from lines
-  where len(regexp_extract_all(line, '{WORD}')) >= 3
+  where len(regexp_extract_all(line, '{WORD}')) >= 1
   group by form having count(distinct source) >= 8),
 firsts as (
   select l.form, l.doc_id, min(l.pos) as pos from lines l join spread s on s.form = l.form and s.first_doc = l.doc_id
