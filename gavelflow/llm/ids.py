@@ -41,6 +41,15 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+_LETTERS = re.compile(f"[{_LETTER}]+")
+#: A byte as the character that byte-level models know it by: itself where it can be seen, else the next from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SEEN]
+_BYTE_CHARS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_MODEL_CHARS = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+_PROBES = ["a", "the", "x" * 40, "unbelievably", "été", "ÿßñ", "übergrößen", "àéîõü"]
+
+
 class IdEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -58,6 +67,8 @@ class IdEncoder:
         self._tokenizer.no_padding()
         # whether case and white space leave no trace in the ids
         self._folds = len(set(self._encoded(["A b É", "a  B\té", " a\n\nb É "]))) == 1
+        # a lower-case run of letters needs no normalising or splitting: its bytes go straight to the model
+        self._straight = self._folds and [self._of_letters(p) for p in _PROBES] == self._encoded(_PROBES)
         self._known: dict[str, bytes] = {}
         self._remember = remember
 
@@ -65,13 +76,25 @@ class IdEncoder:
         made = self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [_bytes(e.ids) for e in made]
 
+    def _of_letters(self, piece: str) -> bytes:
+        try:
+            return _bytes([t.id for t in self._tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(_MODEL_CHARS))])
+        except Exception:  # a model without these characters
+            return self._encoded([piece])[0]
+
+    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
+        plain = [p for p in pieces if _LETTERS.fullmatch(p)] if self._straight else []
+        out = {p: self._of_letters(p) for p in plain}
+        rest = [p for p in pieces if p not in out]
+        return out | dict(zip(rest, self._encoded(rest), strict=True))
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text. Callers bound the size of a batch; see ``batches``."""
         pieces = [_pieces(t, self._folds) for t in texts]
         known = self._known
         found = [None if ps is None else list(map(known.get, ps)) for ps in pieces]
         missing = {p for ps, vs in zip(pieces, found, strict=True) if vs is not None and None in vs for p, v in zip(ps, vs, strict=True) if v is None}
-        fresh = dict(zip(missing, self._encoded(missing), strict=True))
+        fresh = self._fresh(missing)
         out = []
         for text, ps, vs in zip(texts, pieces, found, strict=True):
             if vs is None:
