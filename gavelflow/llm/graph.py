@@ -30,3 +30,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
         if new.where("moved").isEmpty():
             return labels
+
+
+def with_more_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of all links, given the ``roots`` of the earlier ones: only components that the new
+    links join are looked at again."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
+    ends = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    joined = components(ends).select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    old = roots.join(joined, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    fresh = joined.select(F.col("_old").alias("node"), F.col("_new").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return stored(old.unionByName(fresh), "labels")
