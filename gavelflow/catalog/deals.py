@@ -203,6 +203,16 @@ def j6(g: Given) -> DataFrame:
     return risk.overlapping(g.lots, g.lots, g.commit)
 
 
+@query("j6_overlap_ranges", """
+  with held as (select distinct l.lot_id, l.close_at from o_live join v_lots l using (lot_id) where not is_closed and close_at is not null)
+  select a.lot_id, (select count(*) from held h where epoch_us(h.close_at) < epoch_us(a.close_at) - 1800000000) + 1 as first,
+    (select count(*) from held h where epoch_us(h.close_at) <= epoch_us(a.close_at) + 1800000000) as last
+  from v_lots a where a.close_at is not null""")
+def j6_ranges(g: Given) -> DataFrame:
+    """Neighbours in close time as one run per lot of the held lots in order of close time."""
+    return risk.overlap_ranges(g.lots, g.lots, g.commit)[0]
+
+
 _TRY = "(select lot_id, category, 20.0 + current_bid as landed_try from v_lots)"
 
 
