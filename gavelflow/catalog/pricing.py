@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from gavelflow.functions import condition, money, text
 from gavelflow.operators import comps as oc
 from gavelflow.operators import parts
 from gavelflow.operators import scopes as sc
+from gavelflow.session import shared_dir
+from gavelflow.sources import sinks
+from gavelflow.sources.append_once import read_table
 
 
 def h(c, digits: int = 2):
@@ -314,6 +319,28 @@ def s13(g: Given) -> DataFrame:
     return fresh.groupBy("source").agg(F.count(F.lit(1)).alias("appended"), F.count("url").alias("with_url"))
 
 
+@query("s13_comps_appended_once", f"""
+  with late as (select * from v_comps where observed_at >= {_LATE}), early as (select * from v_comps where observed_at < {_LATE}),
+  first as (select * from early where url is null union all
+    select * from early where url is not null qualify row_number() over (partition by source, url order by observed_at, comp_id) = 1),
+  rest as (select * from late where url is null union all
+    select * from (select * from late where url is not null qualify row_number() over (partition by source, url order by observed_at, comp_id) = 1) b
+      where not exists (select 1 from first f where f.source = b.source and f.url = b.url))
+  select run, comp_id, source, query_key, title, price, shipping, is_sold, epoch_us(sold_at) as sold_at, epoch_us(observed_at) as observed_at, url
+  from (select 'early' as run, * from first union all select 'late' as run, * from rest)""")
+def s13_once(g: Given) -> DataFrame:
+    """Two runs into a new table, the second one twice, read back with all columns."""
+    late = F.col("observed_at") >= F.lit("1999-01-01").cast("timestamp")
+    table = f"{shared_dir(g.spark).rstrip('/')}/gavelflow/comps-{uuid.uuid4().hex}"
+    sinks.append_comps_once(g.comps.where(~late), table, "early")
+    for _ in range(2):
+        sinks.append_comps_once(g.comps.where(late), table, "late")
+    rows = read_table(g.spark, table, g.comps.schema)
+    return rows.select(
+        "run", "comp_id", "source", "query_key", "title", "price", "shipping", "is_sold", F.unix_micros("sold_at").alias("sold_at"),
+        F.unix_micros("observed_at").alias("observed_at"), "url")
+
+
 @query("a11_comps_by_source", "select source, count(*) as comps, count(distinct query_key) as distinct_items from v_comps group by 1")
 def a11(g: Given) -> DataFrame:
     return oc.comps_by_source(g.comps)
