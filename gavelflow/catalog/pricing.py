@@ -17,7 +17,7 @@ from gavelflow.operators import comps as oc
 from gavelflow.operators import parts
 from gavelflow.operators import scopes as sc
 from gavelflow.session import shared_dir
-from gavelflow.sources import sinks
+from gavelflow.sources import providers, sinks
 from gavelflow.sources.append_once import read_table
 
 
@@ -341,6 +341,32 @@ def s13_once(g: Given) -> DataFrame:
         F.unix_micros("observed_at").alias("observed_at"), "url")
 
 
+_ASKED_KEYS = "(select distinct query_key as k from v_comps where exists (select 1 from o_asked a where starts_with(query_key, a.family)))"
+
+
+def three_sources(g: Given) -> list[providers.CompSource]:
+    """Two that answer, one that breaks off while Spark runs it."""
+    broken = g.comps.where("source = 'ebay'").withColumn("price", F.when(F.col("is_sold") | F.lit(True), F.raise_error(F.lit("no answer"))).cast("double"))
+    return [
+        providers.table_source("house", g.comps.where("source = 'house'").drop("condition")), providers.CompSource("ebay", lambda queries: broken),
+        providers.table_source("csv", g.comps.where("source = 'csv'").withColumn("extra", F.lit(1)))]
+
+
+@query("x2_comp_sources", f"""
+  select comp_id, source, query_key, price from v_comps join {_ASKED_KEYS} on k = query_key where source in ('house', 'csv')""")
+def x2(g: Given) -> DataFrame:
+    """Comps of all sources that answered."""
+    return providers.gather(three_sources(g), identity(g))[0].select("comp_id", "source", "query_key", "price")
+
+
+@query("x2_source_report", f"""
+  select source, count(*) as rows, false as failed from v_comps join {_ASKED_KEYS} on k = query_key where source in ('house', 'csv') group by 1
+  union all select 'ebay', 0, count(*) > 0 from v_comps where source = 'ebay'""")
+def x2_report(g: Given) -> DataFrame:
+    report = providers.gather(three_sources(g), identity(g))[1]
+    return report.select("source", "rows", F.col("error").isNotNull().alias("failed"))
+
+
 @query("a11_comps_by_source", "select source, count(*) as comps, count(distinct query_key) as distinct_items from v_comps group by 1")
 def a11(g: Given) -> DataFrame:
     return oc.comps_by_source(g.comps)

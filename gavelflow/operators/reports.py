@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavelflow.functions import alerts, money
 from gavelflow.operators.books import latest_valuation
-from gavelflow.operators.splitting import first_rows, top_per_group
+from gavelflow.operators.splitting import first_rows, positions, split_heavy, top_per_group
 from gavelflow.params import Params
 
 
@@ -115,12 +115,27 @@ def closed_with_price(lots: DataFrame, limit: int | None = None) -> DataFrame:
     return first_rows(closed, [F.desc("closed_at"), "lot_id"], limit)
 
 
-def close_price_by_category(lots: DataFrame, limit: int | None = None, top: int | None = None) -> DataFrame:
+def _medians(rows: DataFrame, key: str, value: str, name: str, heavy_rows: int) -> DataFrame:
+    """Median per group; a group too large for one task is ranked in value bins."""
+    middle = F.abs(2 * F.col("pos") - F.col("group_n") - 1) <= 1
+
+    def rank(part: DataFrame, split: bool) -> DataFrame:
+        ranked = positions(part, [key], value, ["lot_id"], slices=[F.substring(F.col("lot_id").cast("string"), 1, 6)], split=split)
+        return ranked.groupBy(key).agg(F.avg(F.when(middle, F.col(value))).alias(name))
+
+    return split_heavy(rows.where(F.col(value).isNotNull()), [key], heavy_rows, rank)
+
+
+def close_price_by_category(
+    lots: DataFrame, limit: int | None = None, top: int | None = None, params: Params = Params(),
+) -> DataFrame:
     """Closes, all or the newest, by category: count, median price, median share of retail."""
-    ratio = F.when(F.col("retail_price") > 0, F.col("final_price") / F.col("retail_price"))
-    grouped = closed_with_price(lots, limit).groupBy(
-        F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("uncategorized")).alias("category")
-    ).agg(F.count(F.lit(1)).alias("lots"), F.median("final_price").alias("median_price"), F.median(ratio).alias("pct_of_retail"))
+    rows = closed_with_price(lots, limit).select(
+        "lot_id", F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("uncategorized")).alias("category"), "final_price",
+        F.when(F.col("retail_price") > 0, F.col("final_price") / F.col("retail_price")).alias("ratio"))
+    grouped = rows.groupBy("category").agg(F.count(F.lit(1)).alias("lots"))
+    for value, name in (("final_price", "median_price"), ("ratio", "pct_of_retail")):
+        grouped = grouped.join(_medians(rows.select("lot_id", "category", value), "category", value, name, params.heavy_rows), "category", "left")
     return first_rows(grouped, [F.desc("lots"), "category"], top)
 
 
