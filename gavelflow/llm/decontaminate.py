@@ -11,7 +11,8 @@ against every block.
 
 Defined cases: missing texts and items are empty; an item shorter than ``min_chars`` proves nothing
 and is not searched; items that repeat an id are searched each, and the best counts; repeated
-documents give repeated hits; empty tables give no hits; other columns are not read.
+documents give repeated hits; empty tables give no hits; a very long text is searched whole; other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ half a template. Of overlapping notices the one with most words aligned stays, t
 best coverage.
 
 Defined cases: a missing text is empty and has no notice; repeated rows give repeated results; of
-equal notices the leftmost stays; an empty table gives none; columns other than id and text are not
-read.
+equal notices the leftmost stays; an empty table gives none; a very long text is searched whole, alignment
+only runs around marked words; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ All of it is column functions and SQL aggregates. Positions are code points, end
 Defined cases: a missing text is empty and has no spans; values of one kind never overlap, those of
 different kinds may and are all reported; a replacement covers overlapping spans once, the leftmost
 (then longest) first; repeated rows count each as documents, and get the same spans; an empty table
-gives an empty result; result columns replace input columns of the same name.
+gives an empty result; a very long text is searched whole, in one row; result columns replace input columns
+of the same name.
 """
 
 from __future__ import annotations

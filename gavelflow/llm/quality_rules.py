@@ -6,7 +6,8 @@ host whose shrunk rate is above ``max_host_rate`` is rejected too.
 
 Defined cases: a missing text is an empty one (no words, so it fails); a document without a host is
 judged by its own counts; repeated rows count each and get the same verdict; an empty table gives
-an empty result; columns of the input other than id, text and host are not looked at.
+an empty result; a very long text counts whole, in one row; columns of the input other than id, text and
+host are not looked at.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ compare more than half of all pairs, which no cluster finishes at 10^10 document
 
 Defined cases: a missing or empty text has no words and fingerprint zero, linked like any other;
 with fewer than four words the whole sequence is the one shingle; a component without any id has no
-component_id; repeated rows give repeated result rows; columns other than id and text are not read.
+component_id; repeated rows give repeated result rows; a very long text counts whole, with a hash per shingle
+in memory; columns other than id and text are not read.
 """
 
 from __future__ import annotations

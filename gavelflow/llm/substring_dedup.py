@@ -22,7 +22,8 @@ it is cut whole and its phrases stay out of the index.
 
 A phrase is named by 96 bits of hash. Defined cases: a missing text has no words; rows that repeat
 id and text are one document; among different texts of one id, the smaller text hash is the earlier;
-a missing id is before all others; an empty table gives an empty result; other columns are not read.
+a missing id is before all others; an empty table gives an empty result; a text counts whole, up to 2^28
+words; other columns are not read.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Defined cases: a missing text is empty and gives the end id alone; documents that share an id follow
 each other by text hash; documents without an id come first and stay without; an empty table gives a
-folder without shards that reads back as no rows; columns other than id and text are not read.
+folder without shards that reads back as no rows; a very long text is encoded whole; columns other than id
+and text are not read.
 """
 
 from __future__ import annotations
