@@ -141,6 +141,12 @@ def views(d: Dialect) -> dict[str, str]:
         case c_custkey % 3 when 0 then 'manual' when 1 then 'amazon_cart' else 'alexa_list' end as source,
         cast(1.0 as double) as priority, c_custkey % 2 = 0 as accept_damaged, c_custkey % 9 <> 0 as active
       from {customer} join v_parts on c_custkey = p_partkey"""
+    v["v_order_signals"] = f"""
+      select case o_orderkey % 6 when 0 then 'amazon_cart' when 1 then 'alexa_list' when 2 then 'house_purchase' when 3 then 'amazon_saved'
+          when 4 then 'house_return' else 'house_watchlist' end as source,
+        concat(p_brand, ' ', model, ' ', p_name) as title, cast(1 as int) as quantity, o_totalprice / 1000 as price_paid, p_brand as brand, category,
+        {d.ts('o_orderdate')} as occurred_at, concat('o', cast(o_orderkey as string)) as external_id, concat(key_head, lower(model)) as query_key
+      from {orders} join v_parts on o_custkey = p_partkey"""
     v["v_commit"] = f"""
       select cast(s_suppkey * 20 as string) as lot_id, cast(10.0 + s_suppkey % 40 as double) as max_bid,
         {cents('cast(10.0 + s_suppkey % 40 as double) * 1.2261875')} as landed_at_max,
