@@ -25,7 +25,8 @@ from pyspark.sql.types import StructType
 RECORD = "run string, attempt string, rows long"
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """``(file system, path)`` as Hadoop names them."""
     made = spark._jvm.org.apache.hadoop.fs.Path(path)
     return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
 
@@ -37,20 +38,29 @@ def _record(table: str, run: str) -> str:
 
 
 def is_committed(spark: SparkSession, table: str, run: str) -> bool:
-    fs, path = _path(spark, _record(table, run))
+    fs, path = hadoop_path(spark, _record(table, run))
     return bool(fs.exists(path))
 
 
-def _commit(spark: SparkSession, table: str, run: str, attempt: str, rows: int) -> None:
-    fs, final = _path(spark, _record(table, run))
-    _, aside = _path(spark, f"{table.rstrip('/')}/runs/_{attempt}.tmp")
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written aside and renamed. A file of that name that
+    another attempt put there may stay or be replaced."""
+    fs, final = hadoop_path(spark, path)
+    _, aside = hadoop_path(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}.tmp")
     out = fs.create(aside, True)
     try:
-        out.write(bytearray(f'{{"run":"{run}","attempt":"{attempt}","rows":{rows}}}\n'.encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if not fs.rename(aside, final) and not fs.exists(final):
-        raise OSError(f"run {run} of {table} was not committed")
+    if not fs.rename(aside, final):
+        # some file systems refuse to replace a file
+        fs.delete(final, False)
+        if not fs.rename(aside, final) and not fs.exists(final):
+            raise OSError(f"{path} was not written")
+
+
+def _commit(spark: SparkSession, table: str, run: str, attempt: str, rows: int) -> None:
+    put_text(spark, _record(table, run), f'{{"run":"{run}","attempt":"{attempt}","rows":{rows}}}\n')
 
 
 def append_once(rows: DataFrame, table: str, run: str, before_commit: Callable[[], None] | None = None) -> bool:
@@ -74,7 +84,7 @@ def append_once(rows: DataFrame, table: str, run: str, before_commit: Callable[[
 def runs(spark: SparkSession, table: str) -> DataFrame:
     """``run, attempt, rows`` of every committed run."""
     folder = f"{table.rstrip('/')}/runs"
-    fs, path = _path(spark, folder)
+    fs, path = hadoop_path(spark, folder)
     if not fs.exists(path):
         return spark.createDataFrame([], RECORD)
     return spark.read.schema(RECORD).option("pathGlobFilter", "*.json").json(folder)
@@ -93,7 +103,7 @@ def read_table(spark: SparkSession, table: str, schema: StructType) -> DataFrame
 
 def clear_attempts(spark: SparkSession, table: str) -> list[str]:
     """Removes the files of attempts that no record names; call while no run is being written."""
-    fs, data = _path(spark, f"{table.rstrip('/')}/data")
+    fs, data = hadoop_path(spark, f"{table.rstrip('/')}/data")
     if not fs.exists(data):
         return []
     named = {r.attempt for r in runs(spark, table).collect()}

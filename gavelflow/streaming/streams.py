@@ -13,6 +13,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from gavelflow.operators import lots as ol
 from gavelflow.params import Params
 from gavelflow.sources.sinks import write_batch
+from gavelflow.streaming import state_log
+from gavelflow.streaming.state_log import read_state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,54 +25,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 # --- current lots -----------------------------------------------------------------------------------
-BUCKETS = 64
-
-
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/data/version={batch_id}"
-
-
-def _pointers(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
-    """Which version holds each bucket after a batch; at most ``BUCKETS`` entries."""
-    if batch_id < 0:
-        return {}
-    return {r.bucket: r.holder for r in spark.read.parquet(f"{path}/pointers/version={batch_id}").collect()}
-
-
-def _buckets(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame | None:
-    if not held:
-        return None
-    return spark.read.parquet(*[f"{_version(path, v)}/bucket={b}" for b, v in sorted(held.items())])
-
-
-def fold_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """State after one batch. Lots are dealt into buckets by hash; only buckets that the batch touches
-    are read and written anew, the others stay where an earlier version put them. Running a batch
-    again rewrites the same version, so a failed try leaves nothing behind."""
-    spark = batch.sparkSession
-    bucket = F.pmod(F.hash("lot_id"), F.lit(BUCKETS))
-    touched = {r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()}
-    before = _pointers(spark, path, batch_id - 1)
-    previous = _buckets(spark, path, {b: v for b, v in before.items() if b in touched})
-    state = ol.fold_observations(batch, previous)
-    if previous is None:
-        state = state.withColumn("is_new", F.lit(True))
-    state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_version(path, batch_id))
-    after = before | dict.fromkeys(touched, batch_id)
-    spark.createDataFrame(sorted(after.items()), "bucket int, holder long").coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/pointers/version={batch_id}")
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The lots after the newest batch."""
-    newest = spark.read.parquet(f"{path}/pointers").agg(F.max("version")).first()[0]
-    return _buckets(spark, path, _pointers(spark, path, newest))
-
-
 def current_lots(observations: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keeps the lot state up to date from a stream of observations."""
+    """Keeps the lot state up to date from a stream of observations; see ``state_log`` and ``read_state``."""
     return (
-        observations.writeStream.foreachBatch(lambda df, i: fold_batch(df, i, path))
+        observations.writeStream.foreachBatch(lambda df, i: state_log.fold_batch(df, i, path))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
