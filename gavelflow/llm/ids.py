@@ -42,12 +42,29 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 _LETTERS = re.compile(f"[{_LETTER}]+")
+_SPACED = re.compile(f" ?[{_LETTER}]+")
 #: A byte as the character that byte-level models know it by: itself where it can be seen, else the next from 256 on.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SEEN]
 _BYTE_CHARS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-_MODEL_CHARS = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+_MODEL_CHARS = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in [0x20, *range(0x80, 0x100)]}
+_MODEL_SPACE = _MODEL_CHARS[0x20]
 _PROBES = ["a", "the", "x" * 40, "unbelievably", "été", "ÿßñ", "übergrößen", "àéîõü"]
+_SPACED_PROBES = [*_PROBES, "The", "ÉTÉ", *[f" {p}" for p in _PROBES], " THE", " Ünï"]
+
+
+class _Known(dict):
+    """Ids of pieces; a piece not seen before is encoded when it is asked for."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self._encode(piece)
+        if len(piece) <= _LONGEST_PIECE:  # long pieces (a text without spaces) are not worth the memory
+            self[piece] = out
+        return out
 
 
 class IdEncoder:
@@ -65,11 +82,14 @@ class IdEncoder:
         self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
         # whether case and white space leave no trace in the ids
         self._folds = len(set(self._encoded(["A b É", "a  B\té", " a\n\nb É "]))) == 1
-        # a lower-case run of letters needs no normalising or splitting: its bytes go straight to the model
-        self._straight = self._folds and [self._of_letters(p) for p in _PROBES] == self._encoded(_PROBES)
-        self._known: dict[str, bytes] = {}
+        # a run of letters (in lower case where case is folded, else with a space in front or none) needs no
+        # normalising or splitting: its bytes go straight to the model
+        probes = _PROBES if self._folds else _SPACED_PROBES
+        self._straight = [self._of_letters(p) for p in probes] == self._encoded(probes)
+        self._known = _Known(self._fresh)
         self._remember = remember
 
     def _encoded(self, texts: Sequence[str]) -> list[bytes]:
@@ -78,35 +98,24 @@ class IdEncoder:
 
     def _of_letters(self, piece: str) -> bytes:
         try:
-            return _bytes([t.id for t in self._tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(_MODEL_CHARS))])
+            chars = piece.replace(" ", _MODEL_SPACE) if piece.isascii() else piece.translate(_MODEL_CHARS)
+            return _bytes([t.id for t in self._model.tokenize(chars)])
         except Exception:  # a model without these characters
             return self._encoded([piece])[0]
 
-    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        plain = [p for p in pieces if _LETTERS.fullmatch(p)] if self._straight else []
-        out = {p: self._of_letters(p) for p in plain}
-        rest = [p for p in pieces if p not in out]
-        return out | dict(zip(rest, self._encoded(rest), strict=True))
+    def _fresh(self, piece: str) -> bytes:
+        if self._straight and (_LETTERS.fullmatch(piece) and piece == piece.lower() if self._folds else _SPACED.fullmatch(piece)):
+            return self._of_letters(piece)
+        return self._encoded([piece])[0]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text. Callers bound the size of a batch; see ``batches``."""
-        pieces = [_pieces(t, self._folds) for t in texts]
-        known = self._known
-        found = [None if ps is None else list(map(known.get, ps)) for ps in pieces]
-        missing = {p for ps, vs in zip(pieces, found, strict=True) if vs is not None and None in vs for p, v in zip(ps, vs, strict=True) if v is None}
-        fresh = self._fresh(missing)
-        out = []
-        for text, ps, vs in zip(texts, pieces, found, strict=True):
-            if vs is None:
-                out.append(self._encoded([text])[0])
-                continue
-            if None in vs:
-                vs = [fresh[p] if v is None else v for p, v in zip(ps, vs, strict=True)]
-            out.append(b"".join(vs))
-        if len(known) + len(fresh) > self._remember:
+        known, out = self._known, []
+        for text in texts:
+            pieces = _pieces(text, self._folds)
+            out.append(self._encoded([text])[0] if pieces is None else b"".join(map(known.__getitem__, pieces)))
+        if len(known) > self._remember:
             known.clear()
-        # long pieces (a text without spaces) are not worth the memory
-        known.update(fresh if max(map(len, fresh), default=0) <= _LONGEST_PIECE else {p: v for p, v in fresh.items() if len(p) <= _LONGEST_PIECE})
         return out
 
 

@@ -175,6 +175,18 @@ def test_ids_in_pieces_equal_ids_of_the_whole(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in made] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_fresh_runs_of_letters_skip_the_whole_tokenizer():
+    encoder = ids.IdEncoder(BYTES)
+    asked = []
+    whole = encoder._encoded
+    encoder._encoded = lambda texts: asked.extend(texts) or whole(texts)
+    texts = ["Plain words, 12 of them", "Été ÀÉ naïve\n\nx  y it's"]
+    made = encoder.encode(texts)
+    plain = Tokenizer.from_file(BYTES)
+    assert [np.frombuffer(x, "<u4").tolist() for x in made] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {"Plain", " words", " of", " them", "Été", " ÀÉ", " naïve"} & set(asked) and {",", " 12"} <= set(asked)
+
+
 def test_packing_places_every_id_once(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "Gamma", "é"]) for _ in range(rng.choice([0, 3, 40, 300, 900])))) for i in range(150)]
