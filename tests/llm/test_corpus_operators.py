@@ -401,26 +401,19 @@ def test_near_copies_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in kept) == sorted(least.values())
 
 
-def test_near_copies_of_one_mark_are_all_compared(spark, monkeypatch):
-    """Texts that share a mark, but are not like the ends of it or any delegate, are still compared."""
+def test_texts_left_apart_in_a_mark_are_all_compared(spark):
     from gavelflow.llm import near_copies as nc
 
-    monkeypatch.setattr(nc, "marks", lambda g: np.array([1, 2], dtype=np.int64))
     rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
-    rows = []
-    for i in range(40):
-        base = [word() for _ in range(rng.choice([30, 31, 60, 200]))]
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, word()]))]
-    rows += [(100 + i, " ".join(word() for _ in range(40))) for i in range(9)]
-    df = docs(spark, rows)
-    sets = {r.node: t for r in nc.near_copies(df, rounds=0)[0].collect() for d, t in rows if d == r.key._gf_id}
-    for kw in ({}, {"rounds": 0}, {"rounds": 0, "tile": 8, "tile_runs": 300}, {"rounds": 1, "tile": 5}):
-        roots = {r.node: r.root for r in nc.near_copies(df, **kw)[1].collect()}
-        groups = {}
-        for node, t in sets.items():
-            groups.setdefault(roots.get(node, node), set()).add(next(d for d, x in rows if x == t))
-        assert sorted(map(sorted, groups.values())) == sorted([[2 * i, 2 * i + 1] for i in range(40)] + [[100 + i] for i in range(9)])
+    sets = {}
+    for i in range(30):
+        base = rng.sample(range(1 << 40), rng.choice([5, 30, 200]))
+        sets[2 * i], sets[2 * i + 1] = base, [*base, rng.randrange(1 << 40)]
+    table = spark.createDataFrame([(k, len(g), g) for k, g in sets.items()], "node long, n long, runs array<long>")
+    rest = spark.createDataFrame([(1, k, 0 if k in (0, 2, 4) else k) for k in sets], "mark long, node long, root long")
+    for tile, tile_runs in ((256, 250_000), (8, 300)):
+        got = nc._rest_of_links(rest, table, tile, tile_runs).collect()
+        assert sorted((r.a, r.b) for r in got) == [(2 * i, 2 * i + 1) for i in range(30)]
 
 
 def test_a_bucket_is_agreed_on_by_every_close_pair():
