@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from gavelflow import lexicon as lx
 from gavelflow.functions import money, text
-from gavelflow.operators.splitting import pin, positions, split_heavy, top_per_group
+from gavelflow.operators.splitting import pin, positions, same_keys, split_heavy, top_per_group
 from gavelflow.params import Params
-from gavelflow.session import durable
+from gavelflow.session import durable, written
 
 COMP_COLUMNS = [
     "comp_id", "source", "query_key", "title", "price", "shipping",
@@ -42,8 +42,7 @@ def family_matches(families: DataFrame, keys: DataFrame) -> DataFrame:
     distinct = keys.select("query_key").distinct()
     grown = distinct.select(
         "query_key",
-        F.explode(F.expr("sequence(1, greatest(length(query_key), 1))")).alias("_n"),
-    ).where(F.col("_n") >= F.least(text.key_stem_length("query_key"), F.length("query_key")))
+        F.explode(F.sequence(F.greatest(F.least(text.key_stem_length("query_key"), F.length("query_key")), F.lit(1)), F.greatest(F.length("query_key"), F.lit(1)))).alias("_n"))
     grown = grown.select("query_key", F.expr("substring(query_key, 1, _n)").alias("family"))
     return families.select("family").distinct().join(grown, "family")
 
@@ -184,8 +183,9 @@ def union_comps(parts: Sequence[DataFrame], dedupe: bool = True, keys: Sequence[
     if not dedupe:
         return rows
     listing = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("#"), F.col("comp_id")))
-    once = top_per_group(rows.withColumn("_listing", listing), [*keys, "source", "_listing"], [F.col("comp_id")], 1)
-    return once.drop("_listing")
+    named = [*keys, "source", "_listing"]
+    rows = rows.withColumn("_listing", listing).withColumn("_h", F.xxhash64(*named))  # numbers sort faster than texts
+    return top_per_group(rows, ["_h", *named], [F.col("comp_id")], 1).drop("_listing", "_h")
 
 
 def new_comps(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -208,82 +208,98 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float, within:
     """Pairs of distinct titles (a, b) whose similarity reaches the threshold, with the similarity; with
     ``within``, pairs that agree on those columns.
 
-    Exact: titles that share a model number join on it; otherwise only the rarest words of a title
-    are indexed, as many as two titles of this Jaccard similarity must share at least one of.
+    Exact: two titles that both have a model number are alike by that number only and join on it. Any other two
+    can only share words that the other side has; titles that agree on those words and on their number of words are
+    one form, and forms are compared: by the rarest of their words, as many as two forms of this Jaccard
+    similarity must share at least one of.
     """
     on = list(within)
-    a = pin(left.select(*on, F.col("title").alias("a")).distinct(), fa=text.title_features("a"))
-    b = pin(right.select(*on, F.col("title").alias("b")).distinct(), fb=text.title_features("b"))
-    by_model = a.select(*on, "a", "fa", F.explode("fa.models").alias("k")).join(
-        b.select(*on, "b", "fb", F.explode("fb.models").alias("k")), [*on, "k"]).select(*on, "a", "b", "fa", "fb")
-    words = a.select(F.explode("fa.words").alias("w")).unionByName(b.select(F.explode("fb.words").alias("w")))
-    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-
-    def rare_words(side: DataFrame, name: str, feat: str) -> DataFrame:
-        # two titles that both have a model number are alike by that number only
-        each = side.select(*on, name, F.col(f"{feat}.models").alias("ms"), F.explode(f"{feat}.words").alias("w")).join(freq, "w")
-        sorted_words = each.groupBy(*on, name).agg(
-            F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"), F.max(F.size("ms") > 0).alias("_m"))
-        n = F.size("ws")
-        # as many words as the other title must share at least one of; and its number of words lies in a range
-        keep = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-        picked = sorted_words.select(*on, name, "_m", n.alias("_n"), F.posexplode(F.slice("ws", 1, keep)).alias("_p", "s"))
-        return picked.select(*on, F.col("s.w").alias("k"), name, F.struct("_m", "_n", "_p").alias(f"_{name}"))
-
-    pairs = rare_words(a, "a", "fa").join(rare_words(b, "b", "fb"), [*on, "k"])
-    size_a, size_b = F.col("_a._n"), F.col("_b._n")
-    least = F.ceil((size_a + size_b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))  # words to share
-    possible = F.least(size_a - F.col("_a._p"), size_b - F.col("_b._p"))  # this one and those behind it
-    pairs = pairs.where(~(F.col("_a._m") & F.col("_b._m")) & (possible >= least)).select(*on, "a", "b").distinct()
-    by_words = pairs.join(a, [*on, "a"]).join(b, [*on, "b"])
-    both = by_model.select(*on, "a", "b", "fa", "fb").unionByName(by_words.select(*on, "a", "b", "fa", "fb"))
-    scored = both.select(*on, "a", "b", text.feature_similarity(F.col("fa"), F.col("fb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).dropDuplicates([*on, "a", "b"])
-
-
-def _sheet_rows(sheet: DataFrame) -> DataFrame:
-    return pin(pin(sheet, row_key=text.normalize_item_key("title")), row_family=text.key_family("row_key")).drop("row_key")
+    a = pin(left.select(*on, F.col("title").alias("a")).distinct(), _f=text.title_features("a"))
+    b = pin(right.select(*on, F.col("title").alias("b")).distinct(), _f=text.title_features("b"))
+    a, b = written(a, "titles"), written(b, "titles")
+    by_model = a.select(*on, "a", F.explode("_f.models").alias("k")).join(
+        b.select(*on, "b", F.explode("_f.models").alias("k")), [*on, "k"]).select(*on, "a", "b").distinct()
+
+    def with_words(side: DataFrame, name: str) -> DataFrame:
+        words = F.col("_f.words")
+        return side.select(*on, name, (F.size("_f.models") > 0).alias("_m"), F.size(words).alias("_n"), F.explode(words).alias("w"))
+
+    wa, wb = with_words(a, "a"), with_words(b, "b")
+    counts = wa.select(*on, "w", "_m", F.lit("a").alias("_s")).unionByName(wb.select(*on, "w", "_m", F.lit("b").alias("_s")))
+    freq = counts.groupBy(*on, "w").agg(
+        F.count(F.lit(1)).alias("df"), *[F.count_if(F.col("_s") == s).alias(f"_{s}") for s in "ab"],
+        *[F.count_if((F.col("_s") == s) & ~F.col("_m")).alias(f"_{s}_plain") for s in "ab"]).where("_a > 0 and _b > 0")
+
+    def formed(side: DataFrame, name: str, other: str) -> tuple[DataFrame, DataFrame]:
+        # the words of a title that a title of the other side has with which it may be compared by words
+        known = side.join(freq, [*on, "w"]).where(F.when(F.col("_m"), F.col(f"_{other}_plain")).otherwise(F.col(f"_{other}")) > 0)
+        titles = known.groupBy(*on, name, "_m", "_n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("_ws"))
+        # as many words as any other title must share
+        need = F.greatest(F.ceil(F.col("_n") * F.lit(threshold) - F.lit(1e-9)).cast("int"), F.lit(1))
+        titles = written(titles.where(F.size("_ws") >= need), "forms")
+        forms = titles.select(*on, "_m", "_n", "_ws").distinct()
+        return titles, forms.select(*on, "_m", "_n", "_ws", F.explode(F.slice("_ws", 1, F.size("_ws") - need + 1)).alias("k"))
+
+    titles_a, fa = formed(wa, "a", "b")
+    titles_b, fb = formed(wb, "b", "a")
+    form = ["_m", "_n", "_ws"]
+    fa = fa.select(*on, "k", *[F.col(c).alias(f"{c}a") for c in form])
+    fb = fb.select(*on, "k", *[F.col(c).alias(f"{c}b") for c in form])
+    shared = F.size(F.array_intersect("_wsa", "_wsb")).cast("double")
+    met = fa.join(fb, [*on, "k"]).where(~(F.col("_ma") & F.col("_mb"))).drop("k").distinct()
+    near = met.withColumn("similarity", shared / (F.col("_na") + F.col("_nb") - shared)).where(F.col("similarity") >= threshold)
+    of = lambda df, s: df.select(*on, s, *[F.col(c).alias(f"{c}{s}") for c in form])
+    by_words = near.join(of(titles_a, "a"), [*on, *[f"{c}a" for c in form]]).join(of(titles_b, "b"), [*on, *[f"{c}b" for c in form]])
+    return by_model.select(*on, "a", "b", F.lit(1.0).alias("similarity")).unionByName(by_words.select(*on, "a", "b", "similarity"))
+
+
+def _sheet_titles(titles: DataFrame) -> DataFrame:
+    """``row_family, title`` of the distinct titles of a sheet."""
+    keyed = pin(titles.select("title").distinct(), row_key=text.normalize_item_key("title"))
+    return written(pin(keyed, row_family=text.key_family("row_key")).select("row_family", "title"), "sheet")
 
 
 def sheet_comps(queries: DataFrame, sheet: DataFrame, params: Params = Params()) -> DataFrame:
     """Price-sheet rows for each (item_key, family, title): same family or similar title.
 
     Sheet rows carry title, price, shipping, condition, sold_at, url and ``comp_id`` in file order;
-    with ``params.comps_limit`` the first rows in that order win. Without a limit ``sheet_totals`` says
+    with ``params.comps_limit`` the first rows in that order win: of a family or an asked title they hold the first
+    of every item that has it, so an item meets a limit of rows of each. Without a limit ``sheet_totals`` says
     what they come to in a row per item.
     """
     n = params.comps_limit
     asked = queries.select("item_key", "family", F.col("title").alias("asked_title")).distinct()
-    rows = _sheet_rows(sheet)
     order = [F.col("comp_id")]
     first = lambda df, keys: df if n is None else top_per_group(df, keys, order, n)
-    same_family = asked.join(first(rows, ["row_family"]), F.col("family") == F.col("row_family"))
-    similar = similar_titles(asked.select(F.col("asked_title").alias("title")), rows, params.min_similarity)
-    close = asked.join(similar, F.col("asked_title") == F.col("a")).join(first(rows, ["title"]), F.col("b") == F.col("title"))
-    kept = ["item_key", "asked_title", *[c for c in rows.columns if c != "row_family"]]
-    hits = same_family.select(*kept).unionByName(close.select(*kept)).dropDuplicates(["item_key", "asked_title", "comp_id"])
+    titles = _sheet_titles(sheet)
+    similar = similar_titles(asked.select(F.col("asked_title").alias("title")), titles, params.min_similarity)
+    groups = titles.select(F.concat(F.lit("f|"), F.col("row_family")).alias("_g"), F.coalesce("title", F.lit("")).alias("_t"), F.col("title").isNull().alias("_none")).unionByName(
+        similar.select(F.concat(F.lit("a|"), F.col("a")).alias("_g"), F.col("b").alias("_t"), F.lit(False).alias("_none")))
+    named = sheet.withColumn("_t", F.coalesce("title", F.lit(""))).withColumn("_none", F.col("title").isNull())
+    members = first(named, ["_none", "_t"]).join(groups, ["_t", "_none"]).drop("_t", "_none").dropDuplicates(["_g", "comp_id"])
+    both = F.explode(F.array(F.concat(F.lit("f|"), F.col("family")), F.concat(F.lit("a|"), F.col("asked_title")))).alias("_g")
+    hits = asked.select("item_key", "asked_title", both).join(first(members, ["_g"]), "_g").drop("_g").dropDuplicates(["item_key", "asked_title", "comp_id"])
     return first(hits, ["item_key", "asked_title"]).withColumn("similarity", text.score_similarity("asked_title", "title"))
 
 
 def sheet_totals(queries: DataFrame, sheet: DataFrame, params: Params = Params()) -> DataFrame:
     """``item_key, asked_title, comps, first_comp, price_sum`` over all sheet rows of the item's family or
-    of a similar title. Rows are summed per family and title first, so an item meets a row per title."""
+    of a similar title. Rows are summed per title first, so an item meets a row per title."""
     asked = queries.select("item_key", "family", F.col("title").alias("asked_title")).distinct()
-    summed = _sheet_rows(sheet).groupBy("row_family", "title").agg(
-        F.count(F.lit(1)).alias("comps"), F.min("comp_id").alias("first_comp"), F.sum(F.col("price").cast("decimal(18,4)")).alias("price_sum"))
-    classes = durable(summed)
+    by_title = written(sheet.groupBy("title").agg(
+        F.count(F.lit(1)).alias("comps"), F.min("comp_id").alias("first_comp"), F.sum(F.col("price").cast("decimal(18,4)")).alias("price_sum")), "sums")
     cols = ["comps", "first_comp", "price_sum"]
-    similar = similar_titles(asked.select(F.col("asked_title").alias("title")), classes.select("title"), params.min_similarity)
-    by_title = classes.groupBy("title").agg(F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum"))
-    close = similar.join(by_title, F.col("b") == F.col("title")).groupBy("a").agg(
-        F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum"))
+    titles = _sheet_titles(by_title)
+    classes = by_title.join(titles.withColumnRenamed("title", "_t"), same_keys([("title", "_t")])).drop("_t")
+    similar = written(similar_titles(asked.select(F.col("asked_title").alias("title")), titles, params.min_similarity).select("a", "b"), "similar")
+    sums = [F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum")]
+    close = similar.join(by_title, F.col("b") == F.col("title")).groupBy("a").agg(*sums)
     near = asked.join(close, F.col("asked_title") == F.col("a")).select("item_key", "asked_title", *cols)
     # of the item's own family only the titles that were not counted as similar
     own = asked.join(classes, F.col("family") == F.col("row_family"))
     again = similar.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     own = own.join(again, (F.col("asked_title") == F.col("_a")) & (F.col("title") == F.col("_b")), "left_anti").select("item_key", "asked_title", *cols)
-    return near.unionByName(own).groupBy("item_key", "asked_title").agg(
-        F.sum("comps").alias("comps"), F.min("first_comp").alias("first_comp"), F.sum("price_sum").alias("price_sum"))
+    return near.unionByName(own).groupBy("item_key", "asked_title").agg(*sums)
 
 
 # --- aggregate ----------------------------------------------------------------------------------

@@ -65,6 +65,37 @@ def test_similar_titles_equal_all_pairs(spark):
     assert got == want and want
 
 
+def test_titles_of_one_form_are_compared_once(spark, monkeypatch):
+    """Many titles that differ in their model number only meet the plain ones as one form."""
+    made = [f"steel rake XR{i:05d}" for i in range(300)]
+    left = spark.createDataFrame([(t,) for t in ["steel rake", "steel rake oak", "oak lamp"]], "title string")
+    right = spark.createDataFrame([(t,) for t in made], "title string")
+    forms = []
+    written = oc.written
+    monkeypatch.setattr(oc, "written", lambda df, what: forms.append(df.select("_m", "_n", "_ws").distinct().count()) or written(df, what) if what == "forms" else written(df, what))
+    got = {(r["a"], r["b"], round(r["similarity"], 6)) for r in oc.similar_titles(left, right, 0.45).collect()}
+    assert got == {("steel rake", t, round(2 / 3, 6)) for t in made} | {("steel rake oak", t, 0.5) for t in made}
+    assert forms[1] == 1
+
+
+def test_sheet_rows_with_a_limit_equal_those_cut_per_item(spark):
+    sheet = [(f"c{i:03d}", ["DeWalt DCD999 drill", "steel rake", "steel rake oak", None, "oak lamp"][i % 5], 10.0 + i) for i in range(120)]
+    sheet = spark.createDataFrame([(c, t, p, 0.0, None, None, None) for c, t, p in sheet],
+                                  "comp_id string, title string, price double, shipping double, condition string, sold_at timestamp, url string")
+    lots = oc.with_identity(spark.createDataFrame(
+        [("DeWalt DCD999B drill", None, "DCD999B", None), ("steel rake", None, None, None), ("steel oak rake", None, None, None)], "title string, brand string, model string, upc string"))
+    every = oc.sheet_comps(lots, sheet).select("item_key", "asked_title", "comp_id").collect()
+    want = {}
+    for r in sorted(every, key=lambda r: r["comp_id"]):
+        want.setdefault((r["item_key"], r["asked_title"]), []).append(r["comp_id"])
+    got = {}
+    for r in oc.sheet_comps(lots, sheet, Params(comps_limit=7)).orderBy("comp_id").collect():
+        got.setdefault((r["item_key"], r["asked_title"]), []).append(r["comp_id"])
+    assert got == {k: v[:7] for k, v in want.items()} and max(map(len, want.values())) > 7
+    totals = {(r["item_key"], r["asked_title"]): (r["comps"], r["first_comp"]) for r in oc.sheet_totals(lots, sheet).collect()}
+    assert totals == {k: (len(v), v[0]) for k, v in want.items()}
+
+
 def points(spark, n):
     rows = [comp(i, "k", price=20.0 + (i * 37 % 100) / 3, days=i % 90, source=["house", "ebay", "csv"][i % 3], similarity=1.0) for i in range(n)]
     df = rows_of(spark, COMP, rows)
