@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelflow.operators import comps as oc
-from gavelflow.operators import scopes
+from gavelflow.operators import scopes, splitting
 from gavelflow.params import Params
 from gavelflow.schemas import COMP
 from tests.test_operators import NOW, T0, comp, rows_of
@@ -77,3 +77,22 @@ def test_a_hot_key_is_summed_before_it_meets_an_item(spark):
     assert shown(scopes.comp_values(keyed, comps, NOW, params)) == shown(plain(keyed, comps, params))
     sizes = scopes.lookup_scopes(keyed, comps)
     assert sizes.count() == keyed.select("item_key").distinct().count()
+
+
+def test_asks_valued_together_agree_with_plain_rows(spark, monkeypatch):
+    """Every ask is valued with the others of its scope in one task, several tasks to a scope."""
+    comps = rows_of(spark, COMP, many_comps(400)).cache()
+    keyed = oc.with_identity(spark.createDataFrame(ASKED, LOTS))
+    seen = []
+    monkeypatch.setattr(scopes, "RANKED", 0)
+    monkeypatch.setattr(scopes, "FEW_CLASSES", 1)
+    monkeypatch.setattr(scopes, "TASK_WORK", 100)
+    gathered = scopes.gathered_values
+    monkeypatch.setattr(scopes, "gathered_values", lambda dealt, *a: seen.append(dealt.count()) or gathered(dealt, *a))
+    assert shown(scopes.comp_values(keyed, comps, NOW)) == shown(plain(keyed, comps, Params()))
+    assert seen and seen[0] >= 3
+
+
+def test_costly_columns_are_dealt_to_as_many_tasks_as_shuffles(spark):
+    rows = spark.range(0, 400, 1, 1).withColumnRenamed("id", "lot_id")
+    assert splitting.dealt_out(rows, "lot_id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
